@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_text, ngram_join, quality_rules
+from . import html_text, langid, ngram_join, ordinal, packing, quality_rules, toxicity
 
-_MODULES = (html_text, ngram_join, quality_rules)
+_MODULES = (html_text, langid, ngram_join, ordinal, packing, quality_rules, toxicity)
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _m in _MODULES:

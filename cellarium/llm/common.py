@@ -106,6 +106,14 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_words = WordHash()
+
+
+def word_hash() -> WordHash:
+    """This process's cache: Python workers live on from task to task."""
+    return _words
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` in UTF-8, A-Z in lower case; bytes' own split() and lower() are just that."""
     return (text or "").encode("utf-8", "replace").lower().split()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_pass, ascii_words, batch_of, shingles, table, written
+from .common import arrow_pass, ascii_words, batch_of, shingles, table, word_hash, written
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -39,7 +39,6 @@ FREQUENT, FREQUENT_LOCAL, FREQUENT_FOLD = 100_000, 10_000, 2_000_000
 TILE_ROWS = 4096
 #: Different centres that the shingles of a document can have.
 CENTRES = 4
-PAIRS_SEEN = 500_000
 
 
 def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
@@ -92,28 +91,29 @@ class _Frequent:
         return k[c >= least], c[c >= least]
 
 
-_FACTS = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+_FACTS = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.binary())])
 
 
 def _facts(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: a document's id, set size and set digest. kind 1: a frequent shingle and its count."""
+    """kind 0: a document's id, set size, set digest and bitmap. kind 1: a frequent shingle and its count."""
 
     def run(batches):
-        words, frequent = WordHash(), _Frequent()
+        words, frequent = word_hash(), _Frequent()
         for b in batches:
-            n, h = [], []
+            n, h, bits = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(words.of(ascii_words(text)), size)
                 frequent.add(s)
                 n.append(len(s))
                 h.append(xxhash.xxh128_digest(s.tobytes()))
+                bits.append(signature(s))
             h = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
-            yield batch_of(_FACTS, kind=np.zeros(len(n), np.int8), id=b.column(0), n=n, h1=h[:, 0], h2=h[:, 1])
+            yield batch_of(_FACTS, kind=np.zeros(len(n), np.int8), id=b.column(0), n=n, h1=h[:, 0], h2=h[:, 1], bits=bits)
         k, c = frequent.top()
         none = np.zeros(len(k), np.int64)
-        yield batch_of(_FACTS, kind=np.ones(len(k), np.int8), id=k.view(np.int64), n=c, h1=none, h2=none)
+        yield batch_of(_FACTS, kind=np.ones(len(k), np.int8), id=k.view(np.int64), n=c, h1=none, h2=none, bits=[None] * len(k))
 
-    return arrow_pass(docs, run, "kind byte, id long, n long, h1 long, h2 long")
+    return arrow_pass(docs, run, "kind byte, id long, n long, h1 long, h2 long, bits binary")
 
 
 _PREFIX = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
@@ -123,7 +123,7 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, keys: np.ndarray,
     """(shingle, document, set size) for each document's first shingles, rare ones first; a task names a class once."""
 
     def run(batches):
-        words, seen = WordHash(), set()
+        words, seen = word_hash(), set()
         for b in batches:
             key, ids, ns = [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     rows = pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv")
 
     def run(batches):
-        words = WordHash()
+        words = word_hash()
         held = lru_cache(maxsize=128)(lambda text: shingles(words.of(ascii_words(text)), size))
         for b in batches:
             good = [similar(held(x), held(y), num, den) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
@@ -191,34 +191,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     return arrow_pass(rows, run, "u long, v long").distinct()
 
 
-def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
-    schema = pa.schema([("id", pa.int64()), ("bits", pa.binary())])
+def _fold(x: np.ndarray, width: int) -> np.ndarray:
+    """The bitmap that ``width`` words would have given."""
+    while len(x) > width:
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return x
+
+
+def possible(a: bytes, b: bytes, na: int, nb: int, num: int = NUM, den: int = DEN) -> bool:
+    """Whether the bits that differ leave room for similarity."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    width = min(len(x), len(y))
+    differ = int(np.bitwise_count(_fold(x, width) ^ _fold(y, width)).sum())
+    return (num + den) * ((na + nb - differ) // 2) >= num * (na + nb)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) that their bitmaps leave possible."""
+    left = nodes.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
+    right = nodes.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
+    rows = pairs.join(left, "u").join(right, "v").select("u", "v", "bu", "bv", "nu", "nv")
 
     def run(batches):
-        words = WordHash()
         for b in batches:
-            yield batch_of(schema, id=b.column(0), bits=[signature(shingles(words.of(ascii_words(t)), size)) for t in b.column(1).to_pylist()])
+            good = [possible(*r, num, den) for r in zip(*(b.column(c).to_pylist() for c in range(2, 6)), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return arrow_pass(texts.select("id", "text"), run, "id long, bits binary")
+    return arrow_pass(rows, run, "u long, v long")
 
 
-def tile_pairs(ids, sizes, comps, blocks, bits, num: int = NUM, den: int = DEN):
-    """Pairs of a tile, sorted by size, that may be similar: other component, size within bounds, and enough overlap left
+def tile_pairs(sizes, comps, blocks, bits, num: int = NUM, den: int = DEN):
+    """Pairs (as row numbers) of a tile, sorted by size, that may be similar: other component, size within bounds, and enough overlap left
     by the bits that differ. In a tile of two blocks only rows of different blocks meet."""
     words = [np.frombuffer(x, np.uint64) for x in bits]
-    n = len(ids)
-    mixed = blocks[0] != blocks[-1] or (blocks != blocks[0]).any()
+    n = len(sizes)
+    mixed = bool((blocks != blocks[0]).any())
     stacks: dict[tuple[int, int], np.ndarray] = {}
 
     def folded(lo: int, hi: int, width: int) -> np.ndarray:
-        rows = []
-        for j in range(lo, hi):
-            x = words[j]
-            while len(x) > width:
-                half = len(x) // 2
-                x = x[:half] ^ x[half:]
-            rows.append(x)
-        return np.array(rows, np.uint64).reshape(hi - lo, width)
+        return np.array([_fold(words[j], width) for j in range(lo, hi)], np.uint64).reshape(hi - lo, width)
 
     last = np.searchsorted(sizes, sizes * den // num, side="right")
     if n > 16:  # the stack of each width once, over all rows that are as wide at least
@@ -240,24 +252,28 @@ def tile_pairs(ids, sizes, comps, blocks, bits, num: int = NUM, den: int = DEN):
         if mixed:
             good &= blocks[i + 1 : hi] != blocks[i]
         for j in np.flatnonzero(good):
-            yield int(ids[i]), int(ids[i + 1 + j])
+            yield i, i + 1 + int(j)
 
 
 def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: (key, bi, bj, n, id, comp, block, bits) sorted by key and blocks, then size, within each partition."""
+    """rows: (key, bi, bj, n, id, comp, block, bits, keys) sorted by key and blocks, then size, within each partition.
 
-    def run(batches):
-        seen: set[tuple[int, int]] = set()
+    A pair that shares several shingles is named by the least of them only.
+    """
 
+    def run(batches):
         def pairs(group):
-            block = group.column("block").to_numpy()
-            found = tile_pairs(group.column("id").to_numpy(), group.column("n").to_numpy().astype(np.int64), group.column("comp").to_numpy(), block, group.column("bits").to_pylist(), num, den)
-            for p in found:
-                if p not in seen:
-                    if len(seen) >= PAIRS_SEEN:
-                        seen.clear()
-                    seen.add(p)
-                    yield p
+            key, ids, keys = group.column("key")[0].as_py(), group.column("id").to_numpy(), group.column("keys")
+            held: dict[int, np.ndarray] = {}
+
+            def of(i):
+                if i not in held:
+                    held[i] = keys[i].values.to_numpy()
+                return held[i]
+
+            for i, j in tile_pairs(group.column("n").to_numpy().astype(np.int64), group.column("comp").to_numpy(), group.column("block").to_numpy(), group.column("bits").to_pylist(), num, den):
+                if np.intersect1d(of(i), of(j), assume_unique=True)[0] == key:
+                    yield int(ids[i]), int(ids[j])
 
         rest = None
         for b in batches:
@@ -290,7 +306,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sets = facts.where("kind = 0").drop("kind")
     classes = sets.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    sets = written(sets.join(classes, ["h1", "h2", "n"], "left").select("id", "n", "rep"))
+    sets = written(sets.join(classes, ["h1", "h2", "n"], "left").select("id", "n", "rep", "bits"))
+    nodes = sets.where("id = rep").select("id", "n", "bits").distinct()
 
     shared = written(_shared(_prefixes(docs, size, num, den, keys, ranks)))
     tiles = shared.join(sets.where("rep is not null").select("id", "rep").distinct(), "id").select("key", F.col("rep").alias("id"), "n").distinct()
@@ -304,18 +321,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     near = (F.least("n", "cn") * den >= F.greatest("n", "cn") * num) & (F.col("id") != F.col("cid"))
     pairs = tiles.where(near).select(F.col("id").alias("u"), F.col("cid").alias("v")).distinct()
-    roots = components(_verified(pairs, texts, size, num, den))
+    roots = components(_verified(_possible(pairs, nodes, num, den), texts, size, num, den))
 
     left = tiles.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "m", F.coalesce("root", "id").alias("comp"))
     left = written(left)
     open_ = left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-    left = left.join(open_, "key", "left_semi")
+    left = written(left.join(open_, "key", "left_semi"))
+    facts_of = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(nodes.select("id", "bits"), "id")
     parts = F.ceil(F.col("m") / TILE_ROWS).cast("int")
     left = left.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
     left = left.select("key", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "n", "id", "comp", "block")
-    rows = left.join(_bitmaps(texts, size), "id").select("key", "bi", "bj", "n", "id", "comp", "block", "bits")
+    rows = left.join(facts_of, "id").select("key", "bi", "bj", "n", "id", "comp", "block", "bits", "keys")
     rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n")
-    more = _verified(_tiles(rows, num, den).distinct(), texts, size, num, den)
+    more = _verified(_tiles(rows, num, den), texts, size, num, den)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
 
     out = sets.join(roots, F.col("rep") == F.col("node"), "left")

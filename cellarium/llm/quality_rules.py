@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import WordHash, arrow_pass, batch_of, table, windows
+from .common import WordHash, arrow_pass, batch_of, table, windows, word_hash
 
 LEVEL = 3
 CHUNK_BYTES = 4096
@@ -95,7 +95,7 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Base counts and the verdict for every row of ``docs``."""
 
     def run(batches):
-        words, compressor = WordHash(), zstandard.ZstdCompressor(level=LEVEL)
+        words, compressor = word_hash(), zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
             rows = [measure(t, words, compressor, bands) for t in b.column(1).to_pylist()]
             cols = dict(zip(_SCHEMA.names[1:], zip(*rows), strict=True)) if rows else {c: [] for c in _SCHEMA.names[1:]}

@@ -16,6 +16,7 @@ are packed as often as they come; a null id is carried; other columns are ignore
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -33,7 +34,8 @@ TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 WINDOW = 4096
 QUANTUM = 256
-CACHE_PIECES = 400_000
+CACHE_WORDS = 400_000
+GROUP_CHARS, LEARN_WORDS = 300_000, 300
 
 # What the vocabulary's normalizer and splitter do to texts of Latin-1 code points: such texts are in form NFC already,
 # lower case is per code point, and the classes below are the letters, digits and spaces among them.
@@ -46,30 +48,83 @@ _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
 class Encoder:
-    """Ids of whole texts. Split pieces are encoded once and kept; texts beyond Latin-1 go to the tokenizer whole."""
+    """Ids of whole texts, as little-endian 32-bit bytes.
+
+    No piece spans white space, so the ids of a word are kept once they are known. New words of many texts are encoded
+    together; the token that ends a piece is marked in the vocabulary. Texts beyond Latin-1, and those with separators
+    that Python counts as white space and the vocabulary doesn't, go to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        low = text.lower()
-        if not text.isascii() and (max(text) > "\xff" or len(low) != len(text)) or "<|" in text and _SPECIAL.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        parts = _SPLIT.findall(low)
-        held = self.pieces
-        try:
-            return [i for p in parts for i in held[p]]
-        except KeyError:
-            new = [p for p in dict.fromkeys(parts) if p not in held]
-            if len(held) + len(new) > CACHE_PIECES:
-                held.clear()
-                new = list(dict.fromkeys(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                held[p] = tuple(e.ids)
-            return [i for p in parts for i in held[p]]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # frequent words find their way back from here
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        parts = [new[i : i + LEARN_WORDS] for i in range(0, len(new), LEARN_WORDS)]
+        for words, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            to = np.flatnonzero(self.ends[ids]) + 1
+            pieces = np.cumsum([len(_SPLIT.findall(w)) for w in words])
+            if pieces[-1] != len(to):
+                self.words.update((w, self._whole(w)) for w in words)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(words, (4 * to[pieces - 1]).tolist(), strict=True):
+                self.words[w] = raw[at:end]
+                at = end
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        if not text.isascii() and max(text) > "\xff":
+            return False
+        return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or "<|" in text and _SPECIAL.search(text))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and size < GROUP_CHARS:
+                text = texts[at]
+                size += len(text)
+                if self._plain(text):
+                    group.append((at, text.lower().split()))
+                else:
+                    out[at] = self._whole(text)
+                at += 1
+            new = set()
+            for _, words in group:
+                new.update(words)
+            missing = [w for w in new if w not in self.words]
+            if missing:
+                if len(self.words) + len(missing) > CACHE_WORDS:
+                    self.older, self.words, missing = self.words, {}, list(new)
+                old = self.older
+                self.words.update((w, old[w]) for w in missing if w in old)
+                self._learn([w for w in missing if w not in old])
+            for i, words in group:
+                out[i] = b"".join(map(self.words.__getitem__, words))
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder: Python workers live on from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenizer_path() -> str:
@@ -86,21 +141,19 @@ def _tokens(docs: DataFrame, path: str | None, end_id: int) -> DataFrame:
     """Per document its ids (packed), their number, and its place in its source's queue within the task."""
 
     def run(batches):
-        encode = Encoder(path or tokenizer_path())
+        encode, end = encoder(path or tokenizer_path()), np.array([end_id], "<u4").tobytes()
         packer = zstandard.ZstdCompressor(level=1)
         part = TaskContext.get().partitionId()
         served: dict[str | None, int] = {}
         for b in batches:
             sources = b.column(1).to_pylist()
             ns, local, ids = [], [], []
-            for source, text in zip(sources, b.column(2).to_pylist(), strict=True):
-                x = encode(text or "")
-                x.append(end_id)
+            for source, raw in zip(sources, encode([t or "" for t in b.column(2).to_pylist()]), strict=True):
+                x = np.frombuffer(raw + end, "<u4")
                 ns.append(len(x))
                 local.append(served.get(source, 0))
                 served[source] = local[-1] + len(x)
-                x = np.array(x, np.uint32)
-                ids.append(b"\x02" + packer.compress(x.astype("<u2").tobytes()) if x.max() < 65536 else b"\x04" + packer.compress(x.astype(_DTYPE).tobytes()))
+                ids.append(b"\x02" + packer.compress(x.astype("<u2").tobytes()) if x.max() < 65536 else b"\x04" + packer.compress(x.tobytes()))
             yield batch_of(_TOKENS, part=np.full(len(ns), part, np.int32), doc_id=b.column(0), source=sources, n=ns, local=local, ids=ids)
 
     return arrow_pass(docs, run, "part int, doc_id long, source string, n long, local long, ids binary")

@@ -312,10 +312,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = written(_shared(_prefixes(docs, size, num, den, keys, ranks)))
     tiles = shared.join(sets.where("rep is not null").select("id", "rep").distinct(), "id").select("key", F.col("rep").alias("id"), "n").distinct()
     tiles = written(tiles)
+    # shingles that have the same documents are one: the digest of a shingle's documents doesn't depend on their order
     centre = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(CENTRES))).alias("h"), "id", "n"))
-    shingle = tiles.groupBy("key").agg(F.count("*").alias("m"), centre.alias("c")).where("m > 1").select("key", "m", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"))
-    shingle = written(shingle)
-    tiles = tiles.join(shingle, "key")
+    ids = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (11, 12)]
+    shingle = tiles.groupBy("key").agg(F.count("*").alias("m"), centre.alias("c"), *ids).where("m > 1")
+    shingle = shingle.groupBy("m", "x11", "x12").agg(F.min(F.struct("key", "c")).alias("k"))
+    shingle = written(shingle.select("k.key", "m", F.col("k.c.id").alias("cid"), F.col("k.c.n").alias("cn")))
+    tiles = written(tiles.join(shingle, "key"))
     texts = docs.where("id is not null").join(tiles.select("id").distinct(), "id", "left_semi")
     texts = written(texts)
 

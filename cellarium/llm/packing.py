@@ -65,6 +65,7 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # frequent words find their way back from here
+        self.signs = {c: self._whole(c) for c in ".,!"}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -83,6 +84,25 @@ class Encoder:
                 self.words[w] = raw[at:end]
                 at = end
 
+    def _known(self, missing: list[str]) -> None:
+        """Makes ``missing`` known: from the older words, or as a word and the sign after it, or by the tokenizer."""
+        old, words, ended, new = self.older, self.words, [], set()
+        for w in missing:
+            if w in old:
+                words[w] = old[w]
+            elif w[-1] in ".,!" and w[-2:-1].isalnum():
+                ended.append(w)
+                w = w[:-1]
+                if w in old:
+                    words[w] = old[w]
+                elif w not in words:
+                    new.add(w)
+            else:
+                new.add(w)
+        self._learn(list(new))
+        for w in ended:
+            words[w] = words[w[:-1]] + self.signs[w[-1]]
+
     @staticmethod
     def _plain(text: str) -> bool:
         if not text.isascii() and max(text) > "\xff":
@@ -93,27 +113,32 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         at = 0
         while at < len(texts):
-            group, size = [], 0
+            open_, new, size = [], set(), 0  # texts with new words; these words
+            find = self.words.get
             while at < len(texts) and size < GROUP_CHARS:
                 text = texts[at]
                 size += len(text)
                 if self._plain(text):
-                    group.append((at, text.lower().split()))
+                    words = text.lower().split()
+                    ids = list(map(find, words))
+                    if None in ids:
+                        gaps = [k for k, x in enumerate(ids) if x is None]
+                        new.update([words[k] for k in gaps])
+                        open_.append((at, words, ids, gaps))
+                    else:
+                        out[at] = b"".join(ids)
                 else:
                     out[at] = self._whole(text)
                 at += 1
-            new = set()
-            for _, words in group:
-                new.update(words)
-            missing = [w for w in new if w not in self.words]
-            if missing:
-                if len(self.words) + len(missing) > CACHE_WORDS:
-                    self.older, self.words, missing = self.words, {}, list(new)
-                old = self.older
-                self.words.update((w, old[w]) for w in missing if w in old)
-                self._learn([w for w in missing if w not in old])
-            for i, words in group:
-                out[i] = b"".join(map(self.words.__getitem__, words))
+            if new:
+                if len(self.words) + len(new) > CACHE_WORDS:
+                    self.older, self.words = self.words, {}
+                self._known(list(new))
+            find = self.words.__getitem__
+            for i, words, ids, gaps in open_:
+                for k in gaps:
+                    ids[k] = find(words[k])
+                out[i] = b"".join(ids)
         return out
 
 

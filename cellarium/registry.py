@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from cellarium.queries import base, solving  # noqa: F401  registers the queries
+from cellarium.queries.common import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

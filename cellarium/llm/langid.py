@@ -111,10 +111,10 @@ class Model:
 def fit(texts: list[str | None], langs: list[str]) -> Model:
     names = sorted(set(langs))
     index = np.full(BUCKETS, -1, np.int32)
-    rows = [(grams(x), names.index(lang)) for t, lang in zip(texts, langs, strict=True) if t and len(x := letters(t)) >= 3]
+    rows = [(np.unique(grams(x)).astype(np.int32), names.index(lang)) for t, lang in zip(texts, langs, strict=True) if t and len(x := letters(t)) >= 3]
     if not rows:
         return Model([], index, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    spectra = [np.unique(g) for g, _ in rows]
+    spectra = [g for g, _ in rows]
     y = np.array([k for _, k in rows])
     # landmarks: in turn from each language, long texts first; features: the n-grams that differ most among languages
     turns = [sorted(np.flatnonzero(y == k), key=lambda i: (-len(spectra[i]), i)) for k in range(len(names))]

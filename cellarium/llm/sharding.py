@@ -2,9 +2,10 @@
 
 Documents with equal texts are linked. Every document starts in a shard by the hash of its id. In each round a linked
 document wants to be where most of its group is; an 8 x 8 table of wishes, cut to the shards' free capacity, says how
-many may go from one shard to another, and buckets of group hashes decide which, so that a group moves together. A
-group larger than a shard's share is dealt by documents. When no move is left, rows beyond a shard's quota and all rows
-without links (they cut nothing wherever they lie) fill the shards to counts that are at most one apart: law ``rows``.
+many may go from one shard to another, and buckets of group hashes decide which, so that a group moves together. When
+no move is left, the few groups that are too large to move as one fill the shards' gaps one after another, so that each
+lies in as few shards as it can; rows beyond a quota and rows without links (they cut nothing wherever they lie) fill
+the rest, to counts that are at most one apart: law ``rows``.
 
 Only counts by group and shard, by shards and bucket, or by bucket travel between stages: a group of any size is
 pre-aggregated, and ranks come from two-level sums instead of one window a shard.
@@ -23,6 +24,7 @@ from .common import running_sum, table, written
 SHARDS = 8
 ROUNDS = 6
 BUCKETS = 256
+BUCKET_ROWS = 2000
 
 
 def allowed_moves(want: list[list[int]], room: list[int]) -> list[list[int]]:
@@ -36,8 +38,15 @@ def allowed_moves(want: list[list[int]], room: list[int]) -> list[list[int]]:
             inflow = sum(flow[i][j] for i in range(k))
             if inflow > most:
                 changed = True
+                had = [flow[i][j] for i in range(k)]
+                left = most
                 for i in range(k):
-                    flow[i][j] = flow[i][j] * most // inflow
+                    flow[i][j] = had[i] * most // inflow
+                    left -= flow[i][j]
+                for i in range(k):  # what rounding left over
+                    more = min(left, had[i] - flow[i][j])
+                    flow[i][j] += more
+                    left -= more
         if not changed:
             return flow
     return [[0] * k for _ in range(k)]
@@ -89,16 +98,19 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     n = base.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     groups = base.where("g1 is not null").groupBy("g1", "g2", "size").agg(F.count("*").alias("m")).where("m > 1")
-    by_group = F.col("m") <= max(1, n // (4 * shards))
-    bucket = F.pmod(F.when(by_group, F.xxhash64("g1", "g2", F.lit(3))).otherwise(F.xxhash64("h", F.lit(3))), F.lit(BUCKETS)).cast("int")
-    linked = base.join(groups, ["g1", "g2", "size"]).select("doc_id", "size", "text_crc32", "g1", "g2", "h", "m", bucket.alias("bucket"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
+    # at most 4 * shards groups are too large to move as one: they fill gaps one after another at the end
+    large = max(1, n // (4 * shards))
+    hot = groups.where(F.col("m") > large).orderBy(F.desc("m"), "g1", "g2").limit(4 * shards).collect()
+    bucket = F.pmod(F.xxhash64("g1", "g2", F.lit(3)), F.lit(BUCKETS)).cast("int")
+    linked = base.join(groups.where(F.col("m") <= large), ["g1", "g2", "size"]).select("doc_id", "size", "text_crc32", "g1", "g2", "h", "m", bucket.alias("bucket"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
     linked = written(linked)
 
     for _ in range(rounds):
         held = {r["shard"]: r["c"] for r in linked.groupBy("shard").agg(F.count("*").alias("c")).collect()}  # a row a shard
         room = [quota[s] - held.get(s, 0) for s in range(shards)]
         counts = linked.groupBy("g1", "g2", "size", "shard").agg(F.count("*").alias("c"))
-        best = counts.groupBy("g1", "g2", "size").agg(F.max(F.struct("c", (-F.col("shard")).alias("s"))).alias("b")).select("g1", "g2", "size", (-F.col("b.s")).alias("best"))
+        most = F.max(F.struct("c", F.xxhash64("g1", "shard").alias("t"), "shard")).alias("b")  # ties fall evenly on the shards
+        best = counts.groupBy("g1", "g2", "size").agg(most).select("g1", "g2", "size", F.col("b.shard").alias("best"))
         rows = linked.join(best, ["g1", "g2", "size"])
         wishes = rows.where("shard <> best").groupBy("shard", "best", "bucket").agg(F.count("*").alias("c")).collect()  # shards**2 * BUCKETS rows at most
         chosen = _chosen_buckets(wishes, room, shards)
@@ -108,14 +120,21 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
 
     cols = ["doc_id", "size", "text_crc32", "m", "h", "shard"]
     order = F.xxhash64("g1", "g2").alias("o")
-    placed = written(running_sum(linked.select(*cols, order).withColumn("one", F.lit(1).cast("long")), ["shard"], ["o", "h"], "one", "rank", keep="o"))
+    placed = written(running_sum(linked.select(*cols, order).withColumn("one", F.lit(1).cast("long")), ["shard"], ["o", "h"], "one", "rank", rows=BUCKET_ROWS, keep="o"))
     quotas = F.array(*[F.lit(q) for q in quota])
     kept = placed.where(F.col("rank") < F.element_at(quotas, F.col("shard") + 1))
     counts = {r["shard"]: r["c"] for r in kept.groupBy("shard").agg(F.count("*").alias("c")).collect()}
     filled = [counts.get(s, 0) for s in range(shards)]
-    single = base.join(groups.select("g1", "g2", "size"), ["g1", "g2", "size"], "left_anti").select("doc_id", "size", "text_crc32", F.lit(1).cast("long").alias("m"), "h")
-    pool = single.unionAll(placed.where(F.col("rank") >= F.element_at(quotas, F.col("shard") + 1)).select("doc_id", "size", "text_crc32", "m", "h"))
-    pool = running_sum(written(pool.withColumn("one", F.lit(1).cast("long"))), [], ["h"], "one", "at")
+    number = F.lit(len(hot))
+    for i, r in enumerate(hot):
+        number = F.when((F.col("g1") == r["g1"]) & (F.col("g2") == r["g2"]) & (F.col("size") == r["size"]), F.lit(i)).otherwise(number)
+    rows_of = F.element_at(F.array(*[F.lit(r["m"]) for r in hot], F.lit(1).cast("long")), number + 1)
+    free = base.join(groups.where(F.col("m") <= large).select("g1", "g2", "size"), ["g1", "g2", "size"], "left_anti")
+    free = free.select("doc_id", "size", "text_crc32", rows_of.alias("m"), "h", number.alias("hot"))
+    over = placed.where(F.col("rank") >= F.element_at(quotas, F.col("shard") + 1)).select("doc_id", "size", "text_crc32", "m", "h", F.lit(len(hot)).alias("hot"))
+    pool = running_sum(written(free.unionAll(over).withColumn("one", F.lit(1).cast("long"))), ["hot"], ["h"], "one", "rank", rows=BUCKET_ROWS)
+    before = [sum(r["m"] for r in hot[:i]) for i in range(len(hot) + 1)]
+    pool = pool.withColumn("at", F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("hot") + 1) + F.col("rank"))
     start, shard, slot = 0, F.lit(shards - 1), F.lit(0).cast("long")
     for s in range(shards):  # the pool's ranks fill the shards' gaps in turn
         gap = quota[s] - filled[s]

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words one task keeps hashed; the cache starts anew beyond.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Bytes of one Arrow batch, so that a few very long texts fit a Python worker.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -106,12 +106,19 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-_words = WordHash()
+_held: dict[str, object] = {}
+
+
+def held_by_process(kind: str, make: Callable[[], object]):
+    """A cache that lives on from task to task, as Python workers do. A worker holds one kind at a time."""
+    if kind not in _held:
+        _held.clear()
+        _held[kind] = make()
+    return _held[kind]
 
 
 def word_hash() -> WordHash:
-    """This process's cache: Python workers live on from task to task."""
-    return _words
+    return held_by_process("words", WordHash)
 
 
 def ascii_words(text: str | None) -> list[bytes]:

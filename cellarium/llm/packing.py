@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, batch_of, running_sum, table, written
+from .common import arrow_pass, batch_of, held_by_process, running_sum, table, written
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 WINDOW = 4096
 QUANTUM = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 GROUP_CHARS, LEARN_WORDS = 300_000, 300
 
 # What the vocabulary's normalizer and splitter do to texts of Latin-1 code points: such texts are in form NFC already,
@@ -142,14 +142,8 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """This process's encoder: Python workers live on from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held_by_process(f"encoder {path}", lambda: Encoder(path))
 
 
 def tokenizer_path() -> str:

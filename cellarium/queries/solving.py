@@ -314,3 +314,75 @@ def storage_statistics(spark, d):
     dims = spark.createDataFrame([(i, len(s)) for i, s in enumerate(c.sets)], "cuboid_id int, n_bits int")
     rows = spark.read.parquet(f"{c.path}/cuboids").groupBy("cuboid_id").agg(F.count("*").alias("n"))
     return rows.join(dims, "cuboid_id").groupBy("n_bits").agg(F.count("*").alias("cuboids"), F.sum("n").alias("cells"))
+
+
+def _events(spark, d):
+    from cellarium.operators.user import UserCube
+
+    e = table(spark, d, "events").select("event_type", F.from_json("props", "k int").getField("k").alias("k"), F.when(F.col("user_id") % 3 == 0, F.lit(None)).otherwise(F.col("user_id") % 8).cast("int").alias("u"), F.floor(F.col("value") * 100 + 0.5).cast("long").alias("cents"))
+    return UserCube.from_rows(e, "cents")
+
+
+_EVENTS = "WITH e AS (SELECT event_type, CAST(json_extract(props, '$.k') AS INT) k, CAST(CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 8 END AS INT) u, CAST(FLOOR(value * 100 + 0.5) AS BIGINT) measure FROM events)"
+
+
+@query(_EVENTS + f" SELECT event_type, (CAST(k >> 4 AS INT) * 16)::VARCHAR || ' to ' || (CAST(k >> 4 AS INT) * 16 + 15)::VARCHAR AS k, {SUM} FROM e GROUP BY 1, 2 HAVING SUM(measure) <> 0")
+def user_tuples(spark, d):
+    """Labels of prefixes of an inferred schema."""
+    return _events(spark, d).query({"event_type": 3, "k": 3})
+
+
+@query(_EVENTS + f" SELECT event_type, u::VARCHAR AS u, {SUM} FROM (SELECT event_type, COALESCE(u, 0) u, measure FROM e) WHERE u IN (3, 5) AND event_type <> (SELECT MIN(event_type) FROM events) GROUP BY 1, 2 HAVING SUM(measure) <> 0")
+def user_criteria(spark, d):
+    first = table(spark, d, "events").agg(F.min("event_type")).first()[0]
+    return _events(spark, d).query({"event_type": 3, "u": 3}, where={"u": ["3", "5"], "event_type": [f"!{first}"]})
+
+
+@query(_EVENTS + f", m AS (SELECT dense_rank() OVER (ORDER BY event_type) - 1 AS c, measure FROM e) SELECT CAST((c >> 2) & 1 AS INT) AS b2, CAST((c >> 1) & 1 AS INT) AS b1, {SUM} FROM m GROUP BY 1, 2 HAVING SUM(measure) <> 0")
+def user_bits(spark, d):
+    return _events(spark, d).query({"event_type": 2}, form="bits")
+
+
+@query(_EVENTS + """ SELECT event_type, CAST(SUM(measure) FILTER (u IS NULL) AS BIGINT) AS "u?=0", CAST(SUM(measure) FILTER (u IS NOT NULL) AS BIGINT) AS "u?=1" FROM e GROUP BY 1""")
+def user_matrix(spark, d):
+    """A pivot over the not-null bit."""
+    return _events(spark, d).query({"event_type": 3}, {"u?": 1}, form="matrix")
+
+
+@query(_EVENTS + " SELECT x, CAST(SUM(y) AS BIGINT) AS total FROM (SELECT event_type AS x, COALESCE(u, 0) AS y FROM e GROUP BY 1, 2 HAVING SUM(measure) <> 0) GROUP BY 1")
+def user_query_dimension(spark, d):
+    return _events(spark, d).query_dimension("event_type", "u")
+
+
+@query(STAR + ", s AS (SELECT ((returnflag >> 1) & 1) + 2 * linestatus + 4 * ((discount >> 3) & 1) AS own, measure FROM star) SELECT CAST(m.range AS BIGINT) AS mask, CAST(SUM(measure) AS BIGINT) AS value FROM range(8) m, s WHERE (own & m.range) = m.range AND bit_count(m.range) <= 2 GROUP BY 1")
+def moment_store(spark, d):
+    from cellarium.operators import moment_store as S
+
+    c = cube(spark, d)
+    return S.build(c, [*c.prefix_bits("returnflag", 1), *c.prefix_bits("linestatus", 1), *c.prefix_bits("discount", 1)], 2)
+
+
+@query()
+def solve_from_store(spark, d):
+    """The same answer as from marginals, from stored moments."""
+    from cellarium.operators import moment_store as S
+
+    c = cube(spark, d)
+    bits = query_bits(c)
+    return _frame(spark, S.solve(S.build(c, bits, 2), range(len(bits)), 2))
+
+
+@query()
+def fetch_statistics(spark, d):
+    """How many bits the projections of a workload's plans share with their queries."""
+    c = cube(spark, d)
+    c = Cube(c.columns, c.base, M.schema_based([c.column_bits(n) for n in c.columns], 6, 3, 8, seed=4))
+    found = [(len(q), f.covered.bit_count(), f.cost) for q in workload.generate(c, [4, 6], 10, seed=1) for f in c.index.prepare_batch(q)]
+    return spark.createDataFrame(found, "q int, covered int, cost int").groupBy("q", "covered").agg(F.count("*").alias("fetches"), F.avg("cost").alias("cost"))
+
+
+@query()
+def shuffled_group(spark, d):
+    """The third group of about 64 rows of the shuffled base cuboid."""
+    c = cube(spark, d)
+    return sampling.group(sampling.shuffled(c.base, list(c.columns)), c.base.count(), 2)

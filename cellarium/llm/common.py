@@ -93,6 +93,18 @@ def id_hash(c: str | Column, seed: int = 0) -> Column:
     return F.xxhash64(F.col(c) if isinstance(c, str) else c, F.lit(seed))
 
 
+#: Parts that the rows of one key are dealt to where a key may hold a third of all rows.
+SALT = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """A join where a key may have very many rows in ``left`` and has few in ``right``: left rows are dealt by the hash of
+    ``by``, right rows go to every part."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALT)).cast("int"))
+    return dealt.join(right.withColumn("_salt", salt), [*on, "_salt"], how).drop("_salt")
+
+
 class WordHash(dict):
     """64-bit hashes of words given as bytes."""
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, ascii_words, batch_of, shingles, table, word_hash, written
+from .common import arrow_pass, ascii_words, batch_of, salted_join, shingles, table, word_hash, written
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -36,7 +36,7 @@ NUM, DEN = 80, 100
 #: Frequent shingles that rank last; each task proposes FREQUENT_LOCAL. Bounds of a broadcast list that only orders.
 FREQUENT, FREQUENT_LOCAL, FREQUENT_FOLD = 100_000, 10_000, 2_000_000
 #: Rows of one shingle that meet in one tile.
-TILE_ROWS = 4096
+TILE_ROWS = 1024
 #: Different centres that the shingles of a document can have.
 CENTRES = 4
 
@@ -305,8 +305,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys, ranks = keys[order], counts[order].astype(np.int64)
 
     sets = facts.where("kind = 0").drop("kind")
-    classes = sets.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    sets = written(sets.join(classes, ["h1", "h2", "n"], "left").select("id", "n", "rep", "bits"))
+    worded = (F.col("n") > 0) & F.col("id").isNotNull()
+    classes = sets.where(worded).groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
+    sets = salted_join(sets, classes.where("m > 1").drop("m"), ["h1", "h2", "n"], ["id"], "left")
+    sets = written(sets.select("id", "n", F.when(worded, F.coalesce("rep", "id")).alias("rep"), "bits"))
     nodes = sets.where("id = rep").select("id", "n", "bits").distinct()
 
     shared = written(_shared(_prefixes(docs, size, num, den, keys, ranks)))

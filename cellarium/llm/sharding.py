@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_sum, table, written
+from .common import running_sum, salted_join, table, written
 
 SHARDS = 8
 ROUNDS = 6
@@ -102,7 +102,8 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     large = max(1, n // (4 * shards))
     hot = groups.where(F.col("m") > large).orderBy(F.desc("m"), "g1", "g2").limit(4 * shards).collect()
     bucket = F.pmod(F.xxhash64("g1", "g2", F.lit(3)), F.lit(BUCKETS)).cast("int")
-    linked = base.join(groups.where(F.col("m") <= large), ["g1", "g2", "size"]).select("doc_id", "size", "text_crc32", "g1", "g2", "h", "m", bucket.alias("bucket"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
+    small = groups.where(F.col("m") <= large)
+    linked = salted_join(base, small, ["g1", "g2", "size"], ["h"]).select("doc_id", "size", "text_crc32", "g1", "g2", "h", "m", bucket.alias("bucket"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
     linked = written(linked)
 
     for _ in range(rounds):
@@ -129,7 +130,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     for i, r in enumerate(hot):
         number = F.when((F.col("g1") == r["g1"]) & (F.col("g2") == r["g2"]) & (F.col("size") == r["size"]), F.lit(i)).otherwise(number)
     rows_of = F.element_at(F.array(*[F.lit(r["m"]) for r in hot], F.lit(1).cast("long")), number + 1)
-    free = base.join(groups.where(F.col("m") <= large).select("g1", "g2", "size"), ["g1", "g2", "size"], "left_anti")
+    free = salted_join(base, small.select("g1", "g2", "size"), ["g1", "g2", "size"], ["h"], "left_anti")
     free = free.select("doc_id", "size", "text_crc32", rows_of.alias("m"), "h", number.alias("hot"))
     over = placed.where(F.col("rank") >= F.element_at(quotas, F.col("shard") + 1)).select("doc_id", "size", "text_crc32", "m", "h", F.lit(len(hot)).alias("hot"))
     pool = running_sum(written(free.unionAll(over).withColumn("one", F.lit(1).cast("long"))), ["hot"], ["h"], "one", "rank", rows=BUCKET_ROWS)

@@ -112,5 +112,6 @@ def aligned(low: int, high: int) -> tuple[int, int]:
 
 
 def in_range(code: Column, low: int, high: int) -> Column:
-    k, v = aligned(low, high)
-    return F.shiftright(code, k) == v
+    """An aligned range, as bounds that a Parquet reader can use; an error if it isn't aligned."""
+    aligned(low, high)
+    return code.between(low, high)

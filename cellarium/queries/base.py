@@ -179,12 +179,20 @@ def bit_gather_scatter(spark, d):
 # predicates ---------------------------------------------------------------------------------------------------------
 @query(STAR + f" SELECT shipyear, {SUM} FROM star WHERE quantity = 16 GROUP BY 1")
 def slice_equals(spark, d):
-    return C.project(star(spark, d, ["shipyear", "quantity"]).where("quantity = 16"), ["shipyear"])
+    """The slice reaches the Parquet reader as bounds on the quantity."""
+    return C.project(star(spark, d, ["shipyear"], {"quantity": (16, 16)}), ["shipyear"])
 
 
 @query(STAR + f" SELECT shipyear, {SUM} FROM star WHERE quantity BETWEEN 16 AND 31 GROUP BY 1")
 def slice_range(spark, d):
-    return C.project(star(spark, d, ["shipyear", "quantity"]).where(C.in_range(F.col("quantity"), 16, 31)), ["shipyear"])
+    C.aligned(16, 31)
+    return C.project(star(spark, d, ["shipyear"], {"quantity": (16, 31)}), ["shipyear"])
+
+
+@query(STAR + f" SELECT custregion, {SUM} FROM star WHERE shipyear BETWEEN 1 AND 2 AND discount BETWEEN 2 AND 5 AND custnation BETWEEN 3 AND 12 GROUP BY 1")
+def slice_pushed(spark, d):
+    """Slices on the fact table and on a lookup, all by bounds on source columns."""
+    return C.project(star(spark, d, ["custregion"], {"shipyear": (1, 2), "discount": (2, 5), "custnation": (3, 12)}), ["custregion"])
 
 
 @query(STAR + f" SELECT returnflag, {SUM} FROM star WHERE (discount = 3 AND tax = 2) OR linestatus = 1 GROUP BY 1")

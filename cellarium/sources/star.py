@@ -17,35 +17,37 @@ CENTS = "cast(floor(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 100 + 0.5
 
 @dataclass(frozen=True)
 class Dim:
-    """A dimension: the expression of its code and the code's width in bits."""
+    """A dimension: the expression of its code, the code's width in bits, the lookups it needs, and what a range of codes
+    {a}..{b} is on the source column, so that a slice reaches the Parquet reader."""
 
     name: str
     width: int
     sql: str
     tables: tuple[str, ...] = ()
+    bounds: str | None = None
 
 
 #: Codes are written as SQL over the joined tables; text domains are coded by their place in the list.
 DIMS = (
     Dim("returnflag", 2, "array_position(array('A','N','R'), l_returnflag) - 1"),
     Dim("linestatus", 1, "array_position(array('F','O'), l_linestatus) - 1"),
-    Dim("linenumber", 3, "l_linenumber - 1"),
-    Dim("quantity", 6, "cast(l_quantity as int) - 1"),
-    Dim("discount", 4, "cast(floor(l_discount * 100 + 0.5) as int)"),
-    Dim("tax", 4, "cast(floor(l_tax * 100 + 0.5) as int)"),
-    Dim("shipyear", 3, "year(l_shipdate) - 1995"),
+    Dim("linenumber", 3, "l_linenumber - 1", (), "l_linenumber between {a} + 1 and {b} + 1"),
+    Dim("quantity", 6, "cast(l_quantity as int) - 1", (), "l_quantity >= {a} + 1.0 and l_quantity < {b} + 2.0"),
+    Dim("discount", 4, "cast(floor(l_discount * 100 + 0.5) as int)", (), "l_discount > ({a} - 1) / 100.0 and l_discount < ({b} + 1) / 100.0"),
+    Dim("tax", 4, "cast(floor(l_tax * 100 + 0.5) as int)", (), "l_tax > ({a} - 1) / 100.0 and l_tax < ({b} + 1) / 100.0"),
+    Dim("shipyear", 3, "year(l_shipdate) - 1995", (), "l_shipdate >= make_date(1995 + {a}, 1, 1) and l_shipdate < make_date(1996 + {b}, 1, 1)"),
     Dim("shipmonth", 4, "month(l_shipdate) - 1"),
     Dim("shipday", 5, "dayofmonth(l_shipdate) - 1"),
     Dim("orderstatus", 2, "array_position(array('F','O','P'), o_orderstatus) - 1", ("orders",)),
-    Dim("orderyear", 3, "year(o_orderdate) - 1995", ("orders",)),
+    Dim("orderyear", 3, "year(o_orderdate) - 1995", ("orders",), "o_orderdate >= make_date(1995 + {a}, 1, 1) and o_orderdate < make_date(1996 + {b}, 1, 1)"),
     Dim("orderquarter", 2, "quarter(o_orderdate) - 1", ("orders",)),
     Dim("ordermonth", 4, "month(o_orderdate) - 1", ("orders",)),
     Dim("orderday", 5, "dayofmonth(o_orderdate) - 1", ("orders",)),
-    Dim("custnation", 5, "c_nationkey", ("orders", "customer")),
+    Dim("custnation", 5, "c_nationkey", ("orders", "customer"), "c_nationkey between {a} and {b}"),
     Dim("custregion", 3, "cn.n_regionkey", ("orders", "customer", "cn")),
-    Dim("suppnation", 5, "s_nationkey", ("supplier",)),
+    Dim("suppnation", 5, "s_nationkey", ("supplier",), "s_nationkey between {a} and {b}"),
     Dim("suppregion", 3, "sn.n_regionkey", ("supplier", "sn")),
-    Dim("partsize", 6, "p_size - 1", ("part",)),
+    Dim("partsize", 6, "p_size - 1", ("part",), "p_size between {a} + 1 and {b} + 1"),
 )
 BY_NAME = {d.name: d for d in DIMS}
 
@@ -71,19 +73,28 @@ def star_sql(names: list[str], where: str = "") -> str:
     return f"select {cols}{', ' if cols else ''}{CENTS} as measure from lineitem {joins} {where}"
 
 
-def star(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
-    """The fact rows: a code column for each named dimension (all if None) and ``measure`` in cents."""
-    names = [d.name for d in DIMS] if names is None else names
+def star(spark: SparkSession, sf_dir: str, names: list[str] | None = None, ranges: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """The fact rows: a code column for each named dimension (all if None) and ``measure`` in cents.
+
+    ranges: dimension -> (first, last code) that rows must have. Bounds on the source columns go to the Parquet readers;
+    the codes themselves are tested too, so the bounds may be wide."""
+    names = [d.name for d in DIMS] if names is None else list(names)
+    ranges = ranges or {}
+    wanted, names = names, [*names, *(n for n in ranges if n not in names)]
     needed = {"lineitem", *(t for n in names for t in BY_NAME[n].tables)}
     views = {"lineitem": "lineitem", "orders": "orders", "customer": "customer", "supplier": "supplier", "part": "part", "cn": "nation", "sn": "nation"}
-    text = star_sql(names)
+    tests = [BY_NAME[n].bounds.format(a=a, b=b) for n, (a, b) in ranges.items() if BY_NAME[n].bounds]
+    text = star_sql(names, f"where {' and '.join(tests)}" if tests else "")
     args = {}
     for t in {views[n] for n in needed}:
         args[t] = table(spark, sf_dir, t)
     # DataFrames are named in the text as {lineitem} and so on; no view is left behind
     for t in sorted(args, key=len, reverse=True):
         text = text.replace(f"join {t} ", f"join {{{t}}} ").replace(f"from {t} ", f"from {{{t}}} ")
-    return spark.sql(text, **args)
+    out = spark.sql(text, **args)
+    for n, (a, b) in ranges.items():
+        out = out.where(F.col(n).between(a, b))
+    return out.select(*wanted, "measure") if wanted != names else out
 
 
 def bit_column(name: str, b: int) -> Column:

@@ -119,3 +119,15 @@ def test_analytics(spark):
     assert (r["breaks"], r["monotone"], r["double_peak"]) == (4, False, True)
     assert [x["window_sum"] for x in A.window_rows(df, "t", 2).orderBy("t").collect()] == [4, 5, 4, 7, 6, 5, 4]
     assert df.where(A.criteria({"t": ["<1", ">=5"]})).count() == 3
+
+
+def test_slices_reach_the_reader(spark):
+    from cellarium.sources.star import star
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = star(spark, "/root/testdata/sf0.001", ["linestatus"], {"quantity": (16, 31), "shipyear": (1, 2)})._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
+    assert "GreaterThanOrEqual(l_quantity,17.0)" in pushed and "LessThan(l_quantity,33.0)" in pushed and "l_shipdate" in pushed
+    assert "l_partkey" not in plan[plan.index("ReadSchema") :].split("\n")[0]
+    stored = spark.range(10).select(F.col("id").alias("quantity"))
+    assert stored.where(C.in_range(F.col("quantity"), 4, 7)).count() == 4

@@ -31,9 +31,9 @@ def variance(df: DataFrame, by: Sequence[str], square: str, total: str, count: s
 
 
 def normalized(df: DataFrame, value: str) -> DataFrame:
-    """``z``: distance from the mean in standard deviations, over all rows; sums first, then one row is joined."""
-    stats = df.agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return df.crossJoin(F.broadcast(stats)).withColumn("z", (F.col(value) - F.col("_m")) / F.col("_s")).drop("_m", "_s")  # stats: one row
+    """``z``: distance from the mean in standard deviations, over all rows. One row of statistics comes to the driver."""
+    m, sd = df.agg(F.avg(value), F.stddev_pop(value)).first()
+    return df.withColumn("z", (F.col(value) - F.lit(m)) / F.lit(sd))
 
 
 def regression(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

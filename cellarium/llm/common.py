@@ -52,12 +52,15 @@ def _clean() -> None:
         _delete(*_written.pop())
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, gathered: bool = False) -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder: lineage ends there and no executor holds the only copy.
 
-    The table goes when the driver's Python ends.
+    ``gathered``: at most two files a core of the cluster, for tables of short rows that come out of shuffles; else every
+    partition leaves its own, however little it holds. The table goes when the driver's Python ends.
     """
     spark = df.sparkSession
+    if gathered:
+        df = df.coalesce(2 * max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/cellarium-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

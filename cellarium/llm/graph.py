@@ -30,10 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star until nothing changes: about log(longest path) rounds, each of a few shuffles
     whose sums combine before the shuffle. Each round is written to the shared folder.
     """
-    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), gathered=True)
     was = _digest(e)
     while was[0]:
-        e = written(_small_star(_large_star(e)))
+        e = written(_small_star(_large_star(e)), gathered=True)
         now = _digest(e)
         if now == was:
             break

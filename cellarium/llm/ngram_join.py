@@ -308,19 +308,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     worded = (F.col("n") > 0) & F.col("id").isNotNull()
     classes = sets.where(worded).groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     sets = salted_join(sets, classes.where("m > 1").drop("m"), ["h1", "h2", "n"], ["id"], "left")
-    sets = written(sets.select("id", "n", F.when(worded, F.coalesce("rep", "id")).alias("rep"), "bits"))
+    sets = written(sets.select("id", "n", F.when(worded, F.coalesce("rep", "id")).alias("rep"), "bits"), gathered=True)
     nodes = sets.where("id = rep").select("id", "n", "bits").distinct()
 
-    shared = written(_shared(_prefixes(docs, size, num, den, keys, ranks)))
+    shared = written(_shared(_prefixes(docs, size, num, den, keys, ranks)), gathered=True)
     tiles = shared.join(sets.where("rep is not null").select("id", "rep").distinct(), "id").select("key", F.col("rep").alias("id"), "n").distinct()
-    tiles = written(tiles)
+    tiles = written(tiles, gathered=True)
     # shingles that have the same documents are one: the digest of a shingle's documents doesn't depend on their order
     centre = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(CENTRES))).alias("h"), "id", "n"))
     ids = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (11, 12)]
     shingle = tiles.groupBy("key").agg(F.count("*").alias("m"), centre.alias("c"), *ids).where("m > 1")
     shingle = shingle.groupBy("m", "x11", "x12").agg(F.min(F.struct("key", "c")).alias("k"))
-    shingle = written(shingle.select("k.key", "m", F.col("k.c.id").alias("cid"), F.col("k.c.n").alias("cn")))
-    tiles = written(tiles.join(shingle, "key"))
+    shingle = written(shingle.select("k.key", "m", F.col("k.c.id").alias("cid"), F.col("k.c.n").alias("cn")), gathered=True)
+    tiles = written(tiles.join(shingle, "key"), gathered=True)
     texts = docs.where("id is not null").join(tiles.select("id").distinct(), "id", "left_semi")
     texts = written(texts)
 
@@ -329,9 +329,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(_verified(_possible(pairs, nodes, num, den), texts, size, num, den))
 
     left = tiles.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "m", F.coalesce("root", "id").alias("comp"))
-    left = written(left)
+    left = written(left, gathered=True)
     open_ = left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-    left = written(left.join(open_, "key", "left_semi"))
+    left = written(left.join(open_, "key", "left_semi"), gathered=True)
     facts_of = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(nodes.select("id", "bits"), "id")
     parts = F.ceil(F.col("m") / TILE_ROWS).cast("int")
     left = left.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))

@@ -227,7 +227,7 @@ def pack_mixture(
     tokens = written(_tokens(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")), path, end_id))
     # one row for each task and source; a task's queue follows those of the tasks before
     parts = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    parts = written(running_sum(parts, ["source"], ["part"], "n", "base", keep="part"))
+    parts = written(running_sum(parts, ["source"], ["part"], "n", "base", keep="part"), gathered=True)
     queues = parts.groupBy("source").agg(F.sum("n").alias("t"))
     total = F.sum("t").over(Window.partitionBy())
     weight = F.col("t").cast("double")
@@ -240,10 +240,10 @@ def pack_mixture(
     queues = queues.withColumn("full", F.col("t") - F.col("t") % quantum)
     served = F.sum("full").over(Window.partitionBy())  # one row a source
     tails = F.coalesce(F.sum(F.col("t") - F.col("full")).over(Window.orderBy(F.desc("share"), "source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    queues = written(queues.select("source", "t", "share", "full", (served + tails).cast("long").alias("tail_at")))
+    queues = written(queues.select("source", "t", "share", "full", (served + tails).cast("long").alias("tail_at")), gathered=True)
 
     blocks = queues.where("full > 0").select("source", "share", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("full") / quantum).cast("long") - 1)).alias("j"))
-    blocks = written(blocks.select("source", "j", ((F.col("j") + 0.5) * quantum / F.col("share")).alias("due"), F.lit(quantum).cast("long").alias("q")))
+    blocks = written(blocks.select("source", "j", ((F.col("j") + 0.5) * quantum / F.col("share")).alias("due"), F.lit(quantum).cast("long").alias("q")), gathered=True)
     blocks = running_sum(blocks, [], ["due", "source", "j"], "q", "at", keep="due")
 
     rows = tokens.alias("t").join(parts.alias("p"), (F.col("t.part") == F.col("p.part")) & F.col("t.source").eqNullSafe(F.col("p.source")))

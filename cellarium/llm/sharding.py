@@ -104,7 +104,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     bucket = F.pmod(F.xxhash64("g1", "g2", F.lit(3)), F.lit(BUCKETS)).cast("int")
     small = groups.where(F.col("m") <= large)
     linked = salted_join(base, small, ["g1", "g2", "size"], ["h"]).select("doc_id", "size", "text_crc32", "g1", "g2", "h", "m", bucket.alias("bucket"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
-    linked = written(linked)
+    linked = written(linked, gathered=True)
 
     for _ in range(rounds):
         held = {r["shard"]: r["c"] for r in linked.groupBy("shard").agg(F.count("*").alias("c")).collect()}  # a row a shard
@@ -117,11 +117,11 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         chosen = _chosen_buckets(wishes, room, shards)
         if not chosen:
             break
-        linked = written(_moved(rows, chosen).drop("best"))
+        linked = written(_moved(rows, chosen).drop("best"), gathered=True)
 
     cols = ["doc_id", "size", "text_crc32", "m", "h", "shard"]
     order = F.xxhash64("g1", "g2").alias("o")
-    placed = written(running_sum(linked.select(*cols, order).withColumn("one", F.lit(1).cast("long")), ["shard"], ["o", "h"], "one", "rank", rows=BUCKET_ROWS, keep="o"))
+    placed = written(running_sum(linked.select(*cols, order).withColumn("one", F.lit(1).cast("long")), ["shard"], ["o", "h"], "one", "rank", rows=BUCKET_ROWS, keep="o"), gathered=True)
     quotas = F.array(*[F.lit(q) for q in quota])
     kept = placed.where(F.col("rank") < F.element_at(quotas, F.col("shard") + 1))
     counts = {r["shard"]: r["c"] for r in kept.groupBy("shard").agg(F.count("*").alias("c")).collect()}
@@ -133,7 +133,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     free = salted_join(base, small.select("g1", "g2", "size"), ["g1", "g2", "size"], ["h"], "left_anti")
     free = free.select("doc_id", "size", "text_crc32", rows_of.alias("m"), "h", number.alias("hot"))
     over = placed.where(F.col("rank") >= F.element_at(quotas, F.col("shard") + 1)).select("doc_id", "size", "text_crc32", "m", "h", F.lit(len(hot)).alias("hot"))
-    pool = running_sum(written(free.unionAll(over).withColumn("one", F.lit(1).cast("long"))), ["hot"], ["h"], "one", "rank", rows=BUCKET_ROWS)
+    pool = running_sum(written(free.unionAll(over).withColumn("one", F.lit(1).cast("long")), gathered=True), ["hot"], ["h"], "one", "rank", rows=BUCKET_ROWS)
     before = [sum(r["m"] for r in hot[:i]) for i in range(len(hot) + 1)]
     pool = pool.withColumn("at", F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("hot") + 1) + F.col("rank"))
     start, shard, slot = 0, F.lit(shards - 1), F.lit(0).cast("long")

@@ -234,7 +234,7 @@ def sampling_online(spark, d):
     q = query_bits(c)
     x = C.dense_array(c.naive(q), len(q))
     steps = sampling.online(c.base, list(c.columns), [c.bit_column(b) for b in q])
-    return spark.createDataFrame([(i, s, V.l1_error(x, y)) for i, (s, y) in enumerate(steps)], "step int, share double, l1 double")
+    return spark.createDataFrame([(i, float(s), V.l1_error(x, y)) for i, (s, y) in enumerate(steps)], "step int, share double, l1 double")
 
 
 @query()

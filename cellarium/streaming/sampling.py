@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellarium.operators.cuboid import cells, dense_array
+from cellarium.operators.cuboid import DENSE_BITS, cells, dense_array
 
 GROUP_ROWS = 64
 
@@ -38,13 +38,23 @@ def naive(base: DataFrame, dims: Sequence[str], bits: Sequence[Column], share: f
 
 
 def online(base: DataFrame, dims: Sequence[str], bits: Sequence[Column], seed: int = 0, first: int = GROUP_ROWS) -> Iterator[tuple[float, np.ndarray]]:
-    """(share seen, scaled cells) for samples of 64, 128, 256, ... rows, until all rows are in."""
-    n = base.count()
-    m = first
-    while True:
-        share = min(1.0, m / max(1, n))
-        x, scale = naive(base, dims, bits, share if share < 1 else 1.1, seed)
-        yield share, x * scale
-        if share >= 1:
-            return
-        m *= 2
+    """(share seen, scaled cells) for samples of about 64, 128, 256, ... rows, until all rows are in.
+
+    One job: sums by cell and by the step at which a row comes in, at most 2**q cells a step."""
+    q, n = len(bits), base.count()
+    if q > DENSE_BITS:
+        raise ValueError(f"{q} bits are too many for a dense answer")
+    steps = max(0, int(np.ceil(np.log2(max(1, n) / first))))
+    step = F.least(F.greatest(F.ceil(F.log2(F.col("place") * n / first)), F.lit(0)), F.lit(steps)).cast("int")
+    idx = F.lit(0).cast("long")
+    for i, b in enumerate(bits):
+        idx = idx + F.shiftleft(b.cast("long"), i)
+    sums = shuffled(base, dims, seed).groupBy(step.alias("step"), idx.alias("idx")).agg(F.sum("measure").alias("measure"), F.count("*").alias("rows"))
+    cells_of, rows_of = np.zeros((steps + 1, 1 << q)), np.zeros(steps + 1)
+    for r in sums.toLocalIterator():
+        cells_of[r["step"], r["idx"]] += r["measure"] or 0
+        rows_of[r["step"]] += r["rows"]
+    x, m = np.cumsum(cells_of, axis=0), np.cumsum(rows_of)
+    for k in range(steps + 1):
+        if m[k]:
+            yield m[k] / n, x[k] * (n / m[k])

@@ -131,3 +131,14 @@ def test_slices_reach_the_reader(spark):
     assert "l_partkey" not in plan[plan.index("ReadSchema") :].split("\n")[0]
     stored = spark.range(10).select(F.col("id").alias("quantity"))
     assert stored.where(C.in_range(F.col("quantity"), 4, 7)).count() == 4
+
+
+def test_online_sampling(cube):
+    from cellarium.streaming import sampling
+
+    q = [0, 3, 5]
+    steps = list(sampling.online(cube.base, list(cube.columns), [cube.bit_column(b) for b in q], first=16))
+    assert np.allclose(steps[-1][1], truth(cube, q)) and steps[-1][0] == 1
+    assert all(a[0] <= b[0] for a, b in zip(steps, steps[1:], strict=False))
+    x, scale = sampling.naive(cube.base, list(cube.columns), [cube.bit_column(b) for b in q], 1.1)
+    assert scale == 1 and np.array_equal(x, truth(cube, q))

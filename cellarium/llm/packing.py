@@ -34,7 +34,7 @@ TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 WINDOW = 4096
 QUANTUM = 256
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 GROUP_CHARS, LEARN_WORDS = 300_000, 300
 
 # What the vocabulary's normalizer and splitter do to texts of Latin-1 code points: such texts are in form NFC already,
@@ -75,7 +75,7 @@ class Encoder:
         for words, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             to = np.flatnonzero(self.ends[ids]) + 1
-            pieces = np.cumsum([len(_SPLIT.findall(w)) for w in words])
+            pieces = np.cumsum([1 if w.isalpha() else len(_SPLIT.findall(w)) for w in words])
             if pieces[-1] != len(to):
                 self.words.update((w, self._whole(w)) for w in words)
                 continue
@@ -105,8 +105,11 @@ class Encoder:
 
     @staticmethod
     def _plain(text: str) -> bool:
-        if not text.isascii() and max(text) > "\xff":
-            return False
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
         return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or "<|" in text and _SPECIAL.search(text))
 
     def __call__(self, texts: list[str]) -> list[bytes]:

@@ -3,7 +3,8 @@
 The standard library's parser streams events. Block-level tags end a line; each line has its text, its number of tags
 and the elements around it. The text-to-tag ratios are smoothed with a Gaussian, two clusters of the smoothed values
 give a threshold, and the regions (an article, or else the container of the lines) that the content lines fill are
-kept whole. What stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+kept whole. An article or main element is a prior only: its lines need half of the threshold, and it is kept with one
+such line, or if it holds half of the page's text; text outside it is judged as on any other page. What stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments, by element, role, class or id, never counts.
 
 Defined results: null or empty html gives an empty text; a page that breaks off gives the text up to there; rows that
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_pass, batch_of, table
 
 SIGMA = 1.5
+#: A line of an article or main element counts as content from this part of the threshold on.
+PRIOR = 2.0
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -143,15 +146,14 @@ def main_text(html: str | None) -> str:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
     ratio = smoothed(size / np.maximum(1, [x[1] for x in lines]))
-    content = ratio >= threshold(ratio)
+    inside = np.array([x[2] in parser.articles for x in lines])
+    content = ratio * np.where(inside, PRIOR, 1.0) >= threshold(ratio)
     filled: dict[int, list[float]] = {}
     for (_, _, region), n, good in zip(lines, size, content, strict=True):
         has = filled.setdefault(region, [0.0, 0.0])
         has[0] += n
         has[1] += n * good
-    kept = {r for r in filled if r in parser.articles}
-    if not kept:
-        kept = {r for r, (n, good) in filled.items() if 2 * good >= n}
+    kept = {r for r, (n, good) in filled.items() if 2 * good >= n or r in parser.articles and (good or 2 * n >= size.sum())}
     return " ".join(x[0] for x in lines if x[2] in kept)
 
 

@@ -69,6 +69,17 @@ def test_main_text(html, want):
     assert H.main_text(html) == want
 
 
+LONG = ["A long paragraph of plain words. " * 8, "Another one follows here. " * 9, "And a third one ends it all. " * 9]
+
+
+def test_article_is_a_prior_only():
+    teasers = "".join(f"<article><a>Teaser {i}</a> <a>more</a></article>" for i in range(9))
+    got = H.main_text(page(teasers + "<div>" + "".join(f"<p>{x}</p>" for x in LONG) + "</div>"))
+    assert all(x.strip() in got for x in LONG) and "Teaser 0" not in got
+    got = H.main_text(page("<article>" + "".join(f"<p>Verse {i} of a poem</p>" for i in range(20)) + f"</article><div><a>x</a></div><div>{LONG[0]}</div>"))
+    assert got.startswith("Verse 0 of a poem Verse 1") and "Verse 19" in got
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", page("<article><p>é x</p></article>")), (2, None, None), (2, None, None), (3, "v", "<p>" * 3000 + "deep")], "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("z")})
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in H.extract(pages).collect())

@@ -80,6 +80,18 @@ def test_article_is_a_prior_only():
     assert got.startswith("Verse 0 of a poem Verse 1") and "Verse 19" in got
 
 
+def test_short_blocks_of_the_main_text_stay():
+    items = "<ul>" + "".join(f"<li>a short item {i}</li>" for i in range(8)) + "</ul>"
+    cells = "<table>" + "".join(f"<tr><td>cell {i}</td><td>{i}</td></tr>" for i in range(6)) + "</table>"
+    menu = "<div>" + "".join(f"<a href='/{i}'>Menu {i}</a> " for i in range(9)) + "</div>"
+    text = f"<p>{LONG[0]}</p>{items}<p>{LONG[1]}</p>{cells}<div><div>short line</div></div><p>{LONG[2]}</p>{items}"
+    words = " ".join(re.sub("<[^>]*>", " ", text).split())
+    assert H.main_text(page(f"{menu}<div>{text}</div>{menu}")) == words
+    assert H.main_text(page(f"{menu}{text}{menu}")) == words
+    split = "".join(f"<section><div>{x}</div></section>" for x in (LONG[0], items, LONG[1], cells, LONG[2]))
+    assert H.main_text(page(f"{menu}<div>{split}</div>{menu}")) == " ".join(re.sub("<[^>]*>", " ", split).split())
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", page("<article><p>é x</p></article>")), (2, None, None), (2, None, None), (3, "v", "<p>" * 3000 + "deep")], "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("z")})
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in H.extract(pages).collect())

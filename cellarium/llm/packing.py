@@ -19,7 +19,6 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -196,7 +195,7 @@ def _cut(o: int, n: int, full: int, tail_at: int, quantum: int, window: int) ->
     return out
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("doc_tokens", pa.int64()), ("j", pa.int64()), ("into", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("doc_tokens", pa.int64()), ("j", pa.int64()), ("into", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 
 def _pieces(rows: DataFrame, quantum: int, window: int) -> DataFrame:
@@ -210,19 +209,20 @@ def _pieces(rows: DataFrame, quantum: int, window: int) -> DataFrame:
                 doc, source, n, o, packed, full, tail_at = r
                 ids = np.frombuffer(unpack.decompress(packed[1:]), "<u2" if packed[0] == 2 else _DTYPE).astype(_DTYPE)
                 for j, start, length in _cut(o, n, full, tail_at, quantum, window):
-                    for c, v in zip(_PIECES.names, (doc, source, n, j, o + start - j * quantum, start, length, zlib.crc32(ids[start : start + length].tobytes())), strict=True):
+                    for c, v in zip(_PIECES.names, (doc, source, n, j, o + start - j * quantum, start, length, ids[start : start + length].tobytes()), strict=True):
                         out[c].append(v)
             yield batch_of(_PIECES, **out)
 
-    return arrow_pass(rows, run, "doc_id long, source string, doc_tokens long, j long, into long, start long, length long, ids_crc32 long")
+    return arrow_pass(rows, run, "doc_id long, source string, doc_tokens long, j long, into long, start long, length long, ids binary")
 
 
 def pack_mixture(
     docs: DataFrame, targets: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     path: str | None = None, end_id: int = END_ID, window: int = WINDOW, quantum: int = QUANTUM,
 ) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
+    """Per piece: doc_id, start, length, ids (little-endian, 32 bits each), ids_crc32, doc_tokens, sequence_id, offset, source.
 
+    A window is the ids of its sequence_id, by offset.
     ``targets``: weight by source; a source without one keeps its own share of the tokens.
     """
     if window % quantum:
@@ -258,12 +258,12 @@ def pack_mixture(
     joined = pieces.alias("p").join(at.alias("b"), (F.col("p.j") == F.col("b.j")) & F.col("p.source").eqNullSafe(F.col("b.source")))
     place = F.col("b.at") + F.col("p.into")
     return joined.select(
-        "p.doc_id", "p.start", "p.length", "p.ids_crc32", "p.doc_tokens", F.floor(place / window).cast("long").alias("sequence_id"), (place % window).alias("offset"), "p.source"
+        "p.doc_id", "p.start", "p.length", "p.ids", F.crc32("p.ids").alias("ids_crc32"), "p.doc_tokens", F.floor(place / window).cast("long").alias("sequence_id"), (place % window).alias("offset"), "p.source"
     )
 
 
 def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_mixture(table(spark, sf_dir, "documents"))
+    return pack_mixture(table(spark, sf_dir, "documents")).drop("ids")  # the digests stand for them
 
 
 QUERIES = {"op6_mixture_packing": op6_mixture_packing}

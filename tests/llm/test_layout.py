@@ -87,6 +87,16 @@ def test_round_trip(make_docs):
             assert abs(got - P.WINDOW * n / total) <= 2 * P.QUANTUM
 
 
+def test_windows_have_their_tokens(make_docs):
+    rows, ids = P.pack_mixture(make_docs(TEXTS)).collect(), whole_ids(TEXTS)
+    windows = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        x = np.frombuffer(r["ids"], "<u4")
+        assert x.tolist() == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tolist()
+        windows[r["sequence_id"]] = windows.get(r["sequence_id"], 0) + len(x)
+    assert sum(windows.values()) == sum(map(len, ids)) and all(n == P.WINDOW for q, n in windows.items() if q < max(windows))
+
+
 def test_targets_and_edges(make_docs):
     docs = make_docs(TEXTS).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.lit("a")))
     rows = P.pack_mixture(docs, targets={"a": 3.0, None: 1.0}).collect()

@@ -8,13 +8,15 @@
    below, hence the overlap from above, before texts are fetched and their sorted hash arrays intersected.
 4. First each document meets one centre of its shingle. What these links have joined needs no further comparison, so
    a large group of near copies costs one comparison each; all pairs that still lie in different components follow.
+5. All links lie inside components. So the classes of each are cut into blocks by size band, and tiles of two blocks
+   intersect all their sets and give each class its number of links; no pair becomes a row.
 
-Every stage is a shuffle by shingle or by document; pairs travel with their texts row by row, so no group is ever held
+Every stage is a shuffle by shingle, by document or by tile; pairs travel with their texts row by row, so no group is ever held
 by one task. The order of shingles decides cost only: no link depends on it.
 
 Defined results: a text without words (null, empty) has size 0 and is linked with nothing; a text of fewer words than a
-shingle is one shingle; rows that repeat a doc_id are one document (with different texts they count as linked); a row
-without doc_id gets a null component; other columns are ignored; an empty table gives no rows.
+shingle is one shingle; rows that repeat a doc_id are one document (with different texts they count as linked, and each
+set's links count); a row without doc_id gets a null component and no number of links; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ NUM, DEN = 80, 100
 FREQUENT, FREQUENT_LOCAL, FREQUENT_FOLD = 100_000, 10_000, 2_000_000
 #: Rows of one shingle that meet in one tile.
 TILE_ROWS = 1024
+#: Shingles and classes of one component in a block of the count of links.
+LINK_SHINGLES, LINK_ROWS = 1_000_000, 2048
 #: Different centres that the shingles of a document can have.
 CENTRES = 4
 
@@ -295,8 +299,122 @@ def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
     return arrow_pass(rows, run, "u long, v long")
 
 
+def links_of(ids: list[int], blocks: list[int], sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> np.ndarray:
+    """How many sets of other documents each of a tile's sets is similar to. In a tile of two blocks only rows of different
+    blocks meet. Exact."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    block, doc = np.array(blocks), np.array(ids)
+    out = np.zeros(n, np.int64)
+    mixed = len(set(blocks)) > 1
+    if n <= 16:
+        for i in range(n):
+            for j in range(i):
+                if doc[i] != doc[j] and not (mixed and block[i] == block[j]) and similar(sets[i], sets[j], num, den):
+                    out[i] += 1
+                    out[j] += 1
+        return out
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    both = np.zeros((n, n), np.float32)  # whole numbers below 2**24
+    frequent = counts * 16 > n
+    at = np.flatnonzero(frequent)
+    place = np.full(len(counts), -1)
+    place[at] = np.arange(len(at))
+    order = np.argsort(column, kind="stable")
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    for lo in range(0, len(at), 4096):
+        here = (place[column] >= lo) & (place[column] < lo + 4096)
+        x = np.zeros((n, min(4096, len(at) - lo)), np.float32)
+        x[row[here], place[column[here]] - lo] = 1
+        both += x @ x.T
+    rare = np.flatnonzero(~frequent & (counts > 1))
+    for c in np.unique(counts[rare]):  # the columns of c rows at once, in parts
+        some = rare[counts[rare] == c]
+        for lo in range(0, len(some), part := max(1, 1_000_000 // int(c * c))):
+            rows = row[order[edges[some[lo : lo + part], None] + np.arange(c)]]
+            pairs = (rows[:, :, None] * n + rows[:, None, :]).ravel()
+            where, often = np.unique(pairs, return_counts=True)
+            both.ravel()[where] += often
+    both = both.astype(np.int64)
+    good = (den * both >= num * (sizes[:, None] + sizes[None, :] - both)) & (doc[:, None] != doc[None, :])
+    if mixed:
+        good &= block[:, None] != block[None, :]
+    return good.sum(axis=1)
+
+
+_COUNT = pa.schema([("id", pa.int64()), ("links", pa.int64())])
+
+
+def _links(roots: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(id, links): the number of other classes that each class is similar to; classes without links are left out."""
+    comps = roots.select(F.col("node").alias("id"), F.col("root").alias("comp")).unionAll(roots.select(F.col("root").alias("id"), F.col("root").alias("comp"))).distinct()
+    step = F.lit(float(np.log(1.01 * den / num)))  # wider than the bound: only equal and adjacent bands meet
+    lo, hi = (F.floor(F.log(f(F.col("n")).cast("double")) / step).cast("int").alias(c) for f, c in ((F.min, "lo"), (F.max, "hi")))
+    # a document of several sets stands in all bands between
+    bands = nodes.groupBy("id").agg(lo, hi, F.sum("n").alias("n")).join(comps, "id").withColumn("band", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+    bands = written(bands, gathered=True)
+    parts = lambda: F.greatest(F.ceil(F.sum("n") / LINK_SHINGLES), F.ceil(F.count("*") / LINK_ROWS)).cast("int")
+    several = written(bands.groupBy("comp").agg(parts().alias("all")).where("all > 1").select("comp").join(bands, "comp").groupBy("comp", "band").agg(parts().alias("parts")), gathered=True)
+
+    def beside(by: int, name: str) -> DataFrame:
+        return several.select("comp", (F.col("band") - by).alias("band"), F.col("parts").alias(name))
+
+    rows = bands
+    for by, name in ((0, "own"), (1, "up"), (-1, "down")):
+        rows = rows.join(beside(by, name), ["comp", "band"], "left")
+    i = F.pmod(F.xxhash64("id", F.lit(9)), F.coalesce("own", F.lit(1))).cast("int")
+    rows = rows.withColumn("i", i)
+    tile = lambda a, x, b, y: F.struct(a.cast("int").alias("a"), x.cast("int").alias("i"), b.cast("int").alias("b"), y.cast("int").alias("j"))
+    band, i, zero = F.col("band"), F.col("i"), F.lit(0)
+    none = F.array().cast("array<struct<a:int,i:int,b:int,j:int>>")
+    steps = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
+    own = F.transform(steps("own"), lambda j: tile(band, F.least(i, j), band, F.greatest(i, j)))
+    up = F.when(F.col("up").isNull(), none).otherwise(F.transform(steps("up"), lambda j: tile(band, i, band + 1, j)))
+    down = F.when(F.col("down").isNull(), none).otherwise(F.transform(steps("down"), lambda j: tile(band - 1, j, band, i)))
+    tiles = F.when(F.col("own").isNull(), F.array(tile(zero, zero, zero, zero))).otherwise(F.concat(own, up, down))
+    name = F.when(F.col("own").isNull(), F.lit(0)).otherwise(band * 4096 + i % 4096 + (F.floor(i / 4096) * (1 << 24))).cast("long")
+    rows = rows.select("id", "comp", band.alias("home"), name.alias("block"), F.explode(tiles).alias("t"), F.col("own").isNull().alias("single"))
+    rows = rows.withColumn("home", F.when(F.col("single"), F.lit(-1)).otherwise(F.col("home"))).distinct()
+    rows = rows.join(texts, "id").select("comp", "t.a", "t.i", "t.b", "t.j", "id", "block", "home", "text")
+    keys = ["comp", "a", "i", "b", "j"]
+    width = float(np.log(1.01 * den / num))
+
+    def run(batches):
+        words = word_hash()
+        key, ids, blocks, sets, seen = None, [], [], [], set()
+
+        def counted():
+            _, a, i, b, j = key
+            meet = len(ids) > 1 and ((a, i) == (b, j) or len(set(blocks)) > 1)  # the other block may have no rows
+            got = links_of(ids, blocks, sets, num, den) if meet else np.zeros(len(ids), np.int64)
+            some = np.flatnonzero(got)
+            return batch_of(_COUNT, id=np.array(ids, np.int64)[some], links=got[some])
+
+        for b in batches:
+            for *k, i, block, home, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != key:
+                    if key is not None:
+                        yield counted()
+                    key, ids, blocks, sets, seen = k, [], [], [], set()
+                s = shingles(words.of(ascii_words(text)), size)
+                if not len(s) or home >= 0 and int(np.floor(np.log(float(len(s))) / width)) != home:
+                    continue
+                if (known := (i, s.tobytes() if len(s) < 16 else xxhash.xxh128_digest(s.tobytes()))) in seen:
+                    continue
+                seen.add(known)
+                ids.append(i)
+                blocks.append(block)
+                sets.append(s)
+        if key is not None:
+            yield counted()
+
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return arrow_pass(rows, run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, class_id (least doc_id with an equal set) and component_id."""
+    """Per row of ``docs``: doc_id, n_shingles, class_id (least doc_id with an equal set), component_id and
+    n_links (the number of other classes whose sets are similar to the row's class; exact)."""
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     facts = written(_facts(docs, size))
     common = facts.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).where("c >= 8").orderBy(F.desc("c"), "id").limit(FREQUENT).toArrow()
@@ -340,13 +458,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n")
     more = _verified(_tiles(rows, num, den), texts, size, num, den)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
+    links = written(_links(roots, nodes, texts, size, num, den), gathered=True)
+    roots = roots.join(links.withColumnRenamed("id", "node"), "node", "full_outer")
 
     out = sets.join(roots, F.col("rep") == F.col("node"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("root", "rep", "id").alias("component_id"))
+    count = F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0).cast("long"))).alias("n_links")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("root", "rep", "id").alias("component_id"), count)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).drop("n_links")  # the SQL has components only
 
 
 #: Exact sets, all pairs that share a shingle, and reachability, as DuckDB SQL for tables of moderate size.

@@ -60,3 +60,29 @@ def test_chain_of_links(make_docs):
     """Documents far apart at the ends, linked one by one."""
     texts = [" ".join(f"t{k}" for k in range(i * 6, i * 6 + 100)) for i in range(12)]
     assert {r["component_id"] for r in J.ngram_jaccard_join(make_docs(texts)).collect()} == {0}
+
+
+@pytest.mark.parametrize("shingles, rows", [(1_000_000, 2048), (60, 3)])
+def test_links_of_every_class(make_docs, near_texts, monkeypatch, shingles, rows):
+    """The links inside a group of near copies too, whichever tiles they lie in."""
+    monkeypatch.setattr(J, "LINK_SHINGLES", shingles)
+    monkeypatch.setattr(J, "LINK_ROWS", rows)
+    words = [f"n{i}" for i in range(240)]
+    copies = [" ".join([*words[:k], "x", *words[k + 1 :], *["end"] * (k % 9)]) for k in range(0, 240, 8)]
+    texts = [*near_texts, *copies]
+    sets = sets_of(texts)
+    classes = set(map(frozenset, sets)) - {frozenset()}
+    want = {s: sum(100 * len(s & t) >= 80 * len(s | t) for t in classes if t != s) for s in classes}
+    got = {r["doc_id"]: r["n_links"] for r in J.ngram_jaccard_join(make_docs(texts)).collect()}
+    assert got == {i: want.get(frozenset(s), 0) for i, s in enumerate(sets)} and max(got.values()) > 16
+
+
+def test_links_of_a_tile():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(200) < 0.93], rng.integers(0, 1 << 62, rng.integers(0, 20)).astype(np.uint64)])) for _ in range(40)]
+    sets += [np.unique(rng.integers(0, 50, 30).astype(np.uint64)) for _ in range(30)]
+    sets += [np.append(s[1:], np.uint64(1 << 63)) for s in (rng.integers(1000 * k, 1000 * k + 900, 60).astype(np.uint64) for k in range(1, 20)) for s in (np.unique(s), np.unique(s))]
+    for blocks in ([0] * len(sets), [i % 2 for i in range(len(sets))]):
+        want = [sum(i != j and (len(set(blocks)) == 1 or blocks[i] != blocks[j]) and J.similar(np.sort(a), np.sort(b)) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+        assert J.links_of(list(range(len(sets))), blocks, sets).tolist() == want

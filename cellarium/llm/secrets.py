@@ -1,6 +1,7 @@
 """Secret scans with DataFrame operations only: a random forest removes false positives.
 
-Candidates are runs of 16 or more key characters anywhere in a text. Each one's length, character transitions,
+Candidates are runs of 16 or more key characters anywhere in a text, and shorter values of 4 or more characters of any
+kind that stand after an assignment or a secret word. Each one's length, character transitions,
 dictionary coverage, path and neighbouring words become numbers by built-in functions; a forest that is trained on the
 driver from labelled findings becomes one CASE expression. Candidates stay in an array beside their text, so a scan is
 one narrow pass without shuffles, and redaction joins the pieces between the candidates again.
@@ -26,7 +27,12 @@ from .common import table
 
 LEAST_CHARS = 16
 _CHARS = r"A-Za-z0-9+/_~.=\-"
-CANDIDATE = f"(?<![{_CHARS}])[{_CHARS}]{{{LEAST_CHARS},}}+"
+_LONG = f"[{_CHARS}]{{{LEAST_CHARS},}}"
+#: Values without a long run, after = or : or a word for secrets; a value in quotes ends with them.
+_AFTER = r"(?<=[\s\"'`=:])(?<=[=:]\s{0,2}[\"'`]?|(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credentials?)(?: is)? [\"'`]?)"
+_QUOTED, _BARE = r"[^\s\"'`]", r"[^\s\"'`,;<>(){}\[\]=:]"
+_SHORT = rf"{_AFTER}(?!{_QUOTED}*?{_LONG})(?:(?<=[\"'`]){_QUOTED}|{_BARE})(?:(?<=[\"'`].){_QUOTED}{{3,}}+|[^\s\"'`,;<>(){{}}\[\]]{{3,}}+)"
+CANDIDATE = f"(?<![{_CHARS}]){_LONG}+|{_SHORT}"
 LEFT_CHARS, RIGHT_CHARS = 48, 24
 #: Forest: trees, depth, least findings in a leaf; a finding is a secret from this score on.
 TREES, DEPTH, LEAF, CUT = 15, 6, 4, 0.5
@@ -41,7 +47,7 @@ DICTIONARY = (
     "en", "er", "re", "an", "on", "in", "st", "nd", "es", "ed", "le", "ou", "ch", "sch", "ich", "eau", "elle", "que", "os", "as", "ado", "ue",
 )
 _WORDS = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
-FEATURES = ("length", "digits", "upper", "classes", "distinct", "vowels", "clusters", "dictionary", "hex", "numeric", "uuid", "assigned", "secret_word", "near_word", "benign_word", "placeholder", "path", "slashes", "prefix")
+FEATURES = ("length", "digits", "upper", "classes", "distinct", "vowels", "clusters", "dictionary", "hex", "numeric", "uuid", "assigned", "secret_word", "near_word", "benign_word", "placeholder", "path", "slashes", "prefix", "symbols")
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -79,6 +85,7 @@ def features(x: Column) -> Column:
         _flag(path.rlike("(test|spec|fixture|example|docs?/|sample|mock|vendor|lock)")),
         _share(c, "[/.]"),
         _flag(c.rlike(r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|eyJ|npm_|pypi-)")),
+        _share(c, "[^A-Za-z0-9]"),
     )
     return F.struct(*[v.cast("double").alias(n) for n, v in zip(FEATURES, values, strict=True)])
 
@@ -141,6 +148,57 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
         if len(c) < LEAST_CHARS:
             c += "." + word(4, 8)
         out.append((c, left[-LEFT_CHARS:], right[:RIGHT_CHARS], path, 0))
+    return out + short_findings(n // 4, seed)
+
+
+def short_findings(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
+    """The same for values of less than 16 characters or with signs in them: passwords and short keys; words, numbers and placeholders."""
+    r = random.Random(seed + 1)
+    lower, upper, digits, signs = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!@#$%^&*?+-_"
+    syllables = [a + b for a in ("th", "er", "st", "n", "r", "l", "sch", "m", "p", "v", "t", "h", "s", "d") for b in ("a", "e", "i", "on", "en", "ou", "an", "ing")]
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    word = lambda a, b: "".join(r.choice(syllables) for _ in range(r.randint(a, b)))
+    prose = lambda: " ".join(word(1, 3) for _ in range(r.randint(2, 6)))
+    secret = ("password", "Password", "passwd", "pwd", "DB_PASSWORD", "secret", "client_secret", "api_key", "API key", "apikey", "token", "auth_token", "access_key")
+    plain = ("name", "count", "note", "title", "lang", "user", "version", "id", "size", "host", "page", "Note", "that is", "path", "color", "date")
+    assign = ('="', ' = "', ': "', "=", " = ", ": ", "='", '": "')
+    out = []
+    while len(out) < n:
+        left, right = prose() + " ", r.choice(('" ', '"', "' ", " ", "\n", "")) + prose()
+        mixed = lambda: "".join(r.sample(x := list(pick(lower, r.randint(3, 6)) + pick(upper, r.randint(0, 4)) + pick(digits, r.randint(1, 4)) + pick(signs, r.randint(0, 3))), len(x)))
+        if len(out) % 2:
+            kind = r.randrange(5)
+            if kind == 0:
+                c = word(1, 3) + pick(digits, r.randint(1, 4)) + r.choice(("", pick(lower, 2), pick(signs, 1)))
+            elif kind == 1:
+                c = pick(lower + upper + digits, r.randint(8, 15))
+            elif kind == 2:
+                c = pick("0123456789abcdef", r.randint(8, 15))
+            elif kind == 3:
+                c = r.choice(signs).join(word(1, 2).capitalize() for _ in range(r.randint(2, 4))) + pick(digits, r.randint(1, 3)) + pick(signs, r.randint(0, 2))
+            else:
+                c = mixed()
+            left += r.choice(secret) + r.choice((*assign, " ", " is "))
+            y = 1
+        else:
+            kind, y = r.randrange(6), 0
+            if kind == 0:
+                c, left = word(1, 5), left + r.choice((*plain, word(1, 3))) + r.choice(assign)
+            elif kind == 1:
+                c, left = word(1, 5) + r.choice(("", ".", ",", "!")), left + r.choice(secret) + r.choice((" ", " is ", ": "))
+            elif kind == 2:
+                c = r.choice(("changeme", "change-me", "your_key", "example", "dummy", "xxxxxxxx", "********", "None", "null", "true", "false", "required", "placeholder", "sample123", "test1234", "${TOKEN}", "<password>", "123456"))
+                left += r.choice(secret) + r.choice(assign)
+            elif kind == 3:
+                c, left = pick(digits, r.randint(4, 12)), left + r.choice(plain) + r.choice(assign)
+            elif kind == 4:
+                c = r.choice((f"v{r.randint(0, 9)}.{r.randint(0, 99)}.{r.randint(0, 9)}", f"20{pick(digits, 2)}-{pick(digits, 2)}-{pick(digits, 2)}", f"{pick(digits, 2)}:{pick(digits, 2)}:{pick(digits, 2)}", "en-US", f"#{pick('0123456789abcdef', 6)}", f"{word(1, 2)}@{word(1, 2)}.org", f"/{word(1, 2)}/{word(1, 2)}", f"{word(1, 2)}{r.randint(1, 9)}"))
+                left += r.choice(plain) + r.choice(assign)
+            else:
+                c, left = mixed(), left + r.choice(plain) + r.choice(assign)
+        if len(c) < 4:
+            c += word(2, 3)
+        out.append((c, left[-LEFT_CHARS:], right[:RIGHT_CHARS], r.choice(("", "src0", "src7", ".env", "web", "notes", "deploy/prod.yml")), y))
     return out
 
 
@@ -213,11 +271,21 @@ def scored(text: Column, path: Column, trees: list) -> tuple[Column, Column]:
 
     Each candidate's features are bound once, as the only element of an array, before the trees look at them.
     """
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    pieces = F.split(text, CANDIDATE, -1)
-    zipped = F.arrays_zip(found.alias("c"), F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("l"), F.slice(pieces, F.lit(2), F.size(pieces) - 1).alias("r"))
-    rows = F.transform(zipped, lambda x: F.struct(x["l"].alias("l"), x["c"].alias("c"), F.element_at(F.transform(F.array(features(F.struct(x["c"].alias("c"), x["l"].alias("l"), x["r"].alias("r"), path.alias("p")))), lambda f: _votes(trees, f)), 1).alias("s")))
-    return rows, F.element_at(pieces, -1)
+    once = F.array(F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("f"), F.split(text, CANDIDATE, -1).alias("p")))
+    rows = F.element_at(F.transform(once, lambda z: _scored(z["f"], z["p"], path, trees)), 1)
+    return rows, F.element_at(F.split(text, CANDIDATE, -1), -1)
+
+
+def _scored(found: Column, pieces: Column, path: Column, trees: list) -> Column:
+    n = F.size(pieces) - 1
+    # a short candidate beside another one stays in its context
+    brief = F.transform(found, lambda c: F.when(F.length(c) < LEAST_CHARS, c).otherwise(F.lit("")))
+    before = F.transform(F.arrays_zip(F.slice(pieces, F.lit(1), n).alias("l"), brief.alias("b")), lambda x: F.when(x["b"] == "", "").otherwise(F.concat(F.right(x["l"], F.lit(LEFT_CHARS)), x["b"])))
+    zipped = F.arrays_zip(
+        found.alias("c"), F.slice(pieces, F.lit(1), n).alias("l"), F.slice(pieces, F.lit(2), n).alias("r"),
+        F.slice(F.concat(F.array(F.lit("")), before), F.lit(1), n).alias("b"), F.slice(F.concat(brief, F.array(F.lit(""))), F.lit(2), n).alias("a"),
+    )
+    return F.transform(zipped, lambda x: F.struct(x["l"].alias("l"), x["c"].alias("c"), F.element_at(F.transform(F.array(features(F.struct(x["c"].alias("c"), F.concat(x["b"], x["l"]).alias("l"), F.concat(x["r"], x["a"]).alias("r"), path.alias("p")))), lambda f: _votes(trees, f)), 1).alias("s")))
 
 
 def scan(docs: DataFrame, trees: list, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:

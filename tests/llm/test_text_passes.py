@@ -167,6 +167,16 @@ def test_secrets(spark, make_docs, trees):
     assert "Python" not in S.scan(docs, trees)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_short_secrets(make_docs, trees):
+    secret = {'the password: "hunter2pw" works': "hunter2pw", "set api_key = k3Jd82hQx9Lp now": "k3Jd82hQx9Lp", 'DB_PASSWORD="pa!Ss@w0rd#x9"': "pa!Ss@w0rd#x9"}
+    plain = ["Note: words follow here", "the password is required and the token expired", 'name = "garden"', "count: 12345 rows", "password: changeme"]
+    docs = make_docs([*secret, *plain])
+    clean = {r["doc_id"]: r["text"] for r in S.redact(docs, trees, count_col=None).collect()}
+    assert [clean[i] for i in range(len(clean))] == [t.replace(c, S.SECRET) for t, c in secret.items()] + plain
+    got = {(r["doc_id"], r["n_chars"]) for r in S.scan(docs, trees).collect() if r["is_secret"]}
+    assert got == {(i, len(c)) for i, c in enumerate(secret.values())}
+
+
 def test_forest_expression(spark, trees):
     """Held-out findings: the expression votes as the trees do, and is right."""
     held = S.labelled_findings(400, seed=99)

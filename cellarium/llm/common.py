@@ -52,7 +52,7 @@ def _clean() -> None:
         _delete(*_written.pop())
 
 
-def written(df: DataFrame, gathered: bool = False) -> DataFrame:
+def written(df: DataFrame, gathered: bool = False, compression: str = "snappy") -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder: lineage ends there and no executor holds the only copy.
 
     ``gathered``: at most two files a core of the cluster, for tables of short rows that come out of shuffles; else every
@@ -62,7 +62,7 @@ def written(df: DataFrame, gathered: bool = False) -> DataFrame:
     if gathered:
         df = df.coalesce(2 * max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/cellarium-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

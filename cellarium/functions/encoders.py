@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellarium.ranking import ranked
+
 from .bits import prefix, width_of
 
 #: Texts that count as no value.
@@ -128,16 +130,11 @@ class Dictionary(Encoder):
         return df.join(t, df[code or f"{self.name}_code"] == t["_c"], "left").drop("_c")
 
 
-def dictionary(df: DataFrame, name: str, split: int = 2) -> DataFrame:
-    """(value, code): distinct values of a column in order, coded from 0.
-
-    Ranks come from the counts of values by their first characters and ranks within them, so no task sorts a domain.
-    """
-    values = df.select(F.col(name).alias("value")).where(F.col(name).isNotNull()).distinct().withColumn("_p", F.substring(F.col("value").cast("string"), 1, split))
-    heads = values.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = heads.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    ranked = values.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("value")) - 1)
-    return ranked.join(base, "_p").select("value", (F.col("_base") + F.col("_r")).cast("int").alias("code"))
+def dictionary(df: DataFrame, name: str) -> DataFrame:
+    """(value, code): distinct values of a column in order, coded from 0. Ranges are sampled, so no task sorts a domain,
+    whatever its values begin with."""
+    values = df.select(F.col(name).alias("value")).where(F.col(name).isNotNull()).distinct()
+    return ranked(values, ["value"], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def grown(table: DataFrame, df: DataFrame, name: str) -> DataFrame:

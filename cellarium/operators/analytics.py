@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,13 +74,19 @@ def by_number(df: DataFrame, c: str) -> DataFrame:
 
 
 def criterion(c: Column, texts: Sequence[str]) -> Column:
-    """A field's criteria, any of which may hold: ``v``, ``!v``, ``<v``, ``<=v``, ``>v``, ``>=v``. NULL meets none but !v."""
+    """A field's criteria, any of which may hold: ``v``, ``!v``, ``<v``, ``<=v``, ``>v``, ``>=v``. NULL meets none but !v.
+    Against a number, texts compare as numbers, and those that are none meet nothing; against other texts as texts."""
     out = F.lit(False)
     number = c.cast("string").try_cast("double")
     for t in texts:
         for op, f in (("<=", Column.__le__), (">=", Column.__ge__), ("<", Column.__lt__), (">", Column.__gt__)):
             if t.startswith(op):
-                out = out | F.coalesce(f(number, F.lit(float(t[len(op) :]))), F.lit(False))
+                bound = t[len(op) :].strip()
+                try:
+                    met = f(number, F.lit(float(bound)))
+                except ValueError:
+                    met = f(c.cast("string"), F.lit(bound))
+                out = out | F.coalesce(met, F.lit(False))
                 break
         else:
             same = c.cast("string").eqNullSafe(F.lit(t.lstrip("!")))
@@ -97,7 +104,7 @@ def criteria(fields: dict[str, Sequence[str]], any_of: bool = False) -> Column:
 
 def value_in_header(header: Column, field: str) -> Column:
     """The value after ``field=`` in a header of ``;``-separated parts; one blank if it isn't there."""
-    found = F.regexp_extract(header, rf"(?:^|;)\s*{field}=([^;]*)", 1)
+    found = F.regexp_extract(header, rf"(?:^|;)\s*{re.escape(field)}=([^;]*)", 1)
     return F.when(found == "", F.lit(" ")).otherwise(F.trim(found))
 
 

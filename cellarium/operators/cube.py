@@ -2,6 +2,8 @@
 
 Binary dimensions are numbered over the columns in order, each from its least significant bit. Materialized cuboids
 stand in one Parquet table partitioned by ``cuboid_id``: (key, measure), the key packed over the cuboid's sorted bits.
+Each materialization writes to a folder of its own and then adds a row to the catalog, whose last row counts: a build that
+breaks off or is run again leaves the answers as they were.
 Exact queries never leave Spark; approximate ones bring at most the cells of the marginals they need to the driver, in
 one job.
 """
@@ -9,6 +11,7 @@ one job.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -21,11 +24,14 @@ from cellarium.operators.cuboid import cells, densify
 from cellarium.plans.index import CuboidIndex, Found, parents
 from cellarium.solvers.extrapolate import CoMoment
 from cellarium.solvers.linear import Bounds
+from cellarium.storage import delete
 
 #: Cuboids that one job builds from a parent.
 BATCH = 64
 #: Most bits of a packed key.
 KEY_BITS = 62
+#: Expected cells of a cuboid that one task writes.
+PART_CELLS = 2_000_000
 
 
 @dataclass
@@ -36,6 +42,8 @@ class Cube:
     base: DataFrame
     sets: list[tuple[int, ...]] = field(default_factory=list)
     path: str | None = None
+    base_path: str | None = None
+    build_path: str | None = None  # of the build whose cuboids count
 
     def __post_init__(self):
         self.bits = [(c, b) for c, w in self.columns.items() for b in range(w)]
@@ -68,7 +76,8 @@ class Cube:
     def materialize(self, sets: Sequence[Sequence[int]], path: str) -> Cube:
         """Builds the cuboids, each from its cheapest materialized superset, in batches of one job, and saves a catalog.
 
-        Parents come before children; what has no materialized superset of few bits is built from the base cuboid."""
+        Parents come before children; what has no materialized superset of few bits is built from the base cuboid. A base
+        that is stored already is referred to, not copied."""
         sets = [tuple(sorted(s)) for s in sets]
         if sets[-1] != tuple(range(self.n_bits)):
             raise ValueError("the last set has to be the base cuboid")
@@ -84,19 +93,48 @@ class Cube:
         if len(todo) < len(sets) - 1:
             raise ValueError(f"a cuboid has {KEY_BITS} bits at most")
         last = len(sets) - 1
+        own = f"{path}/build-{uuid.uuid4().hex}"
+        base_path = self.base_path or f"{own}/base"
+        if not self.base_path:
+            self.base.write.parquet(base_path)
+        stored = Cube(self.columns, spark.read.parquet(base_path))
+        rows = stored.base.count()
         for d in sorted({level(i) for i in todo}):
             of_level = sorted((i for i in todo if depth[i] == d), key=lambda i: (parent[i] == last, parent[i], i))
             for from_base in (True, False):
                 mine = [i for i in of_level if (parent[i] == last) == from_base]
                 for k in range(0, len(mine), BATCH):
-                    self._build(spark, sets, parent, mine[k : k + BATCH], from_base, path)
-        self.base.write.mode("overwrite").parquet(f"{path}/base")
-        catalog = json.dumps({"columns": self.columns, "sets": [list(s) for s in sets], "parents": parent})
-        spark.createDataFrame([(catalog,)], "catalog string").coalesce(1).write.mode("overwrite").parquet(f"{path}/catalog")
+                    stored._build(spark, sets, parent, mine[k : k + BATCH], from_base, own, rows)
+        if not todo:
+            spark.createDataFrame([], "key long, measure long, cuboid_id int").write.parquet(f"{own}/cuboids")
+        catalog = json.dumps({"columns": self.columns, "sets": [list(s) for s in sets], "parents": parent, "base": base_path, "cuboids": own})
+        number = 1 + (Cube._versions(spark, path)[-1][0] if Cube._exists(spark, f"{path}/catalog") else 0)
+        spark.createDataFrame([(number, catalog)], "number long, catalog string").coalesce(1).write.mode("append").parquet(f"{path}/catalog")
         return Cube.load(spark, path)
 
-    def _build(self, spark: SparkSession, sets, parent, batch: list[int], from_base: bool, path: str) -> None:
-        """One job: every row of a parent gives a row to each of its cuboids in the batch; sums combine before the shuffle."""
+    @staticmethod
+    def _exists(spark: SparkSession, path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    @staticmethod
+    def _versions(spark: SparkSession, path: str) -> list[tuple[int, dict]]:
+        return [(r["number"], json.loads(r["catalog"])) for r in spark.read.parquet(f"{path}/catalog").orderBy("number").collect()]
+
+    @classmethod
+    def vacuum(cls, spark: SparkSession, path: str) -> int:
+        """Deletes what only earlier builds in the catalog refer to; how many folders went."""
+        *old, (_, now) = cls._versions(spark, path)
+        gone = {c["cuboids"] for _, c in old} - {now["cuboids"]}
+        used = {now["base"], now["cuboids"]}
+        for g in gone:
+            for part in ([g] if not any(u.startswith(f"{g}/") for u in used) else [f"{g}/cuboids"]):
+                delete(spark, part)
+        return len(gone)
+
+    def _build(self, spark: SparkSession, sets, parent, batch: list[int], from_base: bool, path: str, base_rows: int) -> None:
+        """One job: every row of a parent gives a row to each of its cuboids in the batch; sums combine before the shuffle.
+        A cuboid is written by as many tasks as its expected cells ask for."""
         by: dict[int, list[int]] = {}
         for i in batch:
             by.setdefault(parent[i], []).append(i)
@@ -107,7 +145,8 @@ class Cube:
             source = spark.read.parquet(f"{path}/cuboids").where(F.col("cuboid_id").isin(list(by)))
             made = F.coalesce(*[F.when(F.col("cuboid_id") == p, a) for p, a in keys.items()])
         rows = source.select(F.explode(made).alias("c"), "measure").groupBy("c.cuboid_id", "c.key").agg(F.sum("measure").alias("measure"))
-        rows.repartition("cuboid_id").write.mode("append").partitionBy("cuboid_id").parquet(f"{path}/cuboids")
+        parts = F.element_at(F.create_map(*[F.lit(x) for i in batch for x in (i, 1 + min(1 << len(sets[i]), base_rows) // PART_CELLS)]), F.col("cuboid_id"))
+        rows.repartition("cuboid_id", F.pmod(F.xxhash64("key"), parts)).write.mode("append").partitionBy("cuboid_id").parquet(f"{path}/cuboids")
 
     def _key(self, sets, p: int, i: int) -> Column:
         """The packed key of cuboid i from the rows of p."""
@@ -120,16 +159,20 @@ class Cube:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Cube:
-        catalog = json.loads(spark.read.parquet(f"{path}/catalog").first()[0])
-        return cls(catalog["columns"], spark.read.parquet(f"{path}/base"), [tuple(s) for s in catalog["sets"]], path)
+        _, catalog = cls._versions(spark, path)[-1]
+        return cls(catalog["columns"], spark.read.parquet(catalog["base"]), [tuple(s) for s in catalog["sets"]], path, catalog["base"], catalog["cuboids"])
 
     def partial(self, sets: Sequence[Sequence[int]], path: str) -> Cube:
-        """Other cuboids over the same base."""
-        return Cube(self.columns, self.base).materialize(sets, path)
+        """Other cuboids over the same base, which is referred to where it is stored."""
+        return Cube(self.columns, self.base, base_path=self.base_path).materialize(sets, path)
 
     # exact queries --------------------------------------------------------------------------------------------------
+    def cuboids(self) -> DataFrame:
+        """All materialized cuboids: key, measure, cuboid_id."""
+        return self.base.sparkSession.read.parquet(f"{self.build_path}/cuboids")
+
     def cuboid(self, i: int) -> DataFrame:
-        return self.base.sparkSession.read.parquet(f"{self.path}/cuboids").where(F.col("cuboid_id") == i).select("key", "measure")
+        return self.cuboids().where(F.col("cuboid_id") == i).select("key", "measure")
 
     def _is_base(self, found: Found) -> bool:
         return found.cuboid == len(self.sets) - 1
@@ -141,14 +184,35 @@ class Cube:
             return cells(self.base, [self.bit_column(b) for i, b in enumerate(query) if found.covered >> i & 1])
         return self.cuboid(found.cuboid).groupBy(gather(F.col("key"), found.positions).alias("idx")).agg(F.sum("measure").alias("measure"))
 
-    def naive(self, query: Sequence[int], dense: bool = False, where: Column | None = None) -> DataFrame:
-        """(idx, measure), exact, from the cheapest cuboid that covers the query (a filter on codes goes to the base)."""
+    def naive(self, query: Sequence[int], dense: bool = False, where: Column | None = None, fixed: dict[int, int] | None = None) -> DataFrame:
+        """(idx, measure), exact, from the cheapest cuboid that covers the query and the bits that ``fixed`` gives values
+        to (bit -> 0 or 1); its rows are filtered before they are summed. A filter ``where`` on codes goes to the base."""
+        query = sorted(query)
         if where is not None:
-            out = cells(self.base.where(where), [self.bit_column(b) for b in sorted(query)])
+            held = [self.bit_column(b) == v for b, v in (fixed or {}).items()]
+            rows = self.base.where(where)
+            for h in held:
+                rows = rows.where(h)
+            out = cells(rows, [self.bit_column(b) for b in query])
+        elif fixed:
+            out = self._sliced(query, fixed)
         else:
             out = self.fetch(self.index.prepare_naive(query), query)
         return densify(out, len(query)) if dense else out
 
+    def _sliced(self, query: list[int], fixed: dict[int, int]) -> DataFrame:
+        found = self.index.prepare_naive(sorted({*query, *fixed}))
+        if self._is_base(found):
+            rows = self.base
+            for b, v in fixed.items():
+                rows = rows.where(self.bit_column(b) == v)
+            return cells(rows, [self.bit_column(b) for b in query])
+        own = self.sets[found.cuboid]
+        mask = sum(1 << own.index(b) for b in fixed)
+        want = sum(v << own.index(b) for b, v in fixed.items())
+        rows = self.cuboid(found.cuboid).where(F.col("key").bitwiseAND(F.lit(mask)) == want)
+        return rows.groupBy(gather(F.col("key"), [own.index(b) for b in query]).alias("idx")).agg(F.sum("measure").alias("measure"))
+
     def query(self, rows: dict[str, int], cols: dict[str, int] | None = None, where: Column | None = None) -> DataFrame:
         """Sums by prefixes: column -> number of its most significant bits. With ``cols`` a pivot of their cells."""
         def keys(spec):
@@ -170,7 +234,7 @@ class Cube:
         if stored:
             idx = F.coalesce(*[F.when(F.col("cuboid_id") == f.cuboid, gather(F.col("key"), f.positions)) for f in stored])
             tag = F.coalesce(*[F.when(F.col("cuboid_id") == f.cuboid, F.lit(f.covered)) for f in stored])
-            table = self.base.sparkSession.read.parquet(f"{self.path}/cuboids").where(F.col("cuboid_id").isin([f.cuboid for f in stored]))
+            table = self.cuboids().where(F.col("cuboid_id").isin([f.cuboid for f in stored]))
             parts.append(table.groupBy(tag.cast("long").alias("part"), idx.alias("idx")).agg(F.sum("measure").alias("measure")))
         parts += [self.fetch(f, query).select(F.lit(f.covered).cast("long").alias("part"), "idx", "measure") for f in found if self._is_base(f)]
         whole = parts[0]
@@ -198,8 +262,16 @@ class Cube:
             s.add(mask, v)
         return s.solve()
 
-    def online(self, query: Sequence[int], cheap: int = 2, primary: tuple | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """(degrees of freedom, cells) after each projection, small ones first; the caller stops when it has enough."""
+    def online(self, query: Sequence[int], cheap: int = 2, primary: tuple | None = None, codes: dict[str, Sequence[int]] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(degrees of freedom, cells) after each projection, small ones first; the caller stops when it has enough.
+
+        codes: column -> the codes that rows may have. The query then runs over these columns' bits too, and each answer
+        is summed over the cells that have such codes."""
+        if codes:
+            wide = sorted({*query, *(b for c in codes for b in self.column_bits(c))})
+            for degrees, x in self.online(wide, cheap, primary):
+                yield degrees, self._diced(x, wide, sorted(query), codes)
+            return
         query = sorted(query)
         s = CoMoment(len(query), (primary[0], [primary[1][b] for b in query]) if primary else None)
         for f in self.index.prepare_online(query, cheap):
@@ -207,6 +279,15 @@ class Cube:
                 s.add(mask, v)
             yield s.degrees, s.solve()
 
+    def _diced(self, x: np.ndarray, wide: list[int], query: list[int], codes: dict[str, Sequence[int]]) -> np.ndarray:
+        at = np.arange(len(x))
+        packed = lambda bits: sum((at >> wide.index(b) & 1) << i for i, b in enumerate(bits))
+        keep = np.ones(len(x), bool)
+        for c, allowed in codes.items():
+            keep &= np.isin(packed(self.column_bits(c)), list(allowed))
+        out = packed(query) if query else np.zeros(len(x), int)
+        return np.bincount(out[keep], weights=x[keep], minlength=1 << len(query))
+
     def online_bounds(self, query: Sequence[int], cheap: int = 2) -> Iterator[Bounds]:
         """Exact bounds of every cell after each projection that adds an equation."""
         query = sorted(query)

@@ -99,7 +99,7 @@ class CubeSchema:
                 v = F.abs(c.cast("long"))
             else:
                 v = F.col(f"_d{at[x.source]}")
-            return F.coalesce(v, F.lit(0)).cast("int").alias(x.name)
+            return F.coalesce(v, F.lit(0)).cast("int" if x.width < 32 else "long").alias(x.name)
 
         return out.select(*[code(x) for x in self.levels], F.col(f"`{measure}`").cast("long").alias("measure"))
 
@@ -113,6 +113,8 @@ class CubeSchema:
             first = F.shiftleft(c, low)
             last = first + ((1 << low) - 1)
             text = first.cast("string") if not low else F.concat(first.cast("string"), F.lit(" to "), last.cast("string"))
+            if not low and x.kind == "nat" and f"-{name}" in df.columns:  # the sign stands in a column of its own
+                text = F.when(F.col(f"`-{name}`") == 1, F.concat(F.lit("-"), text)).otherwise(text)
             return df.withColumn(f"{name}_label", text)
         names = self.dictionaries[x.source].groupBy(F.shiftright("code", low).alias("_g")).agg(F.min(F.struct("code", "value"))["value"].alias("_a"), F.max(F.struct("code", "value"))["value"].alias("_z"))
         joined = df.join(names, c == F.col("_g"), "left")

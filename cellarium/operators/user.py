@@ -49,7 +49,8 @@ class UserCube:
         return [b for c, k in spec.items() for b in self.cube.prefix_bits(c, k)]
 
     def query(self, rows: dict[str, int], cols: dict[str, int] | None = None, where: dict[str, Sequence[str]] | None = None, any_of: bool = False, method: str = "naive", form: str = "tuples", zero: bool = False, primary: tuple | None = None):
-        """Sums by the prefixes in ``rows`` and ``cols``, the criteria ``where`` on labels of these columns.
+        """Sums by the prefixes in ``rows`` and ``cols`` of what meets the criteria ``where``: on these columns' labels, or
+        on any other column's values, whose rows are then filtered before they are summed (``naive`` only).
 
         form: ``tuples`` (a label column for each dimension), ``bits`` (a 0/1 column for each bit), ``matrix`` (a pivot
         over the labels of ``cols``) or ``array`` (row labels, column labels, values). method: ``naive`` or ``moment``.
@@ -57,7 +58,10 @@ class UserCube:
         if form not in FORMS:
             raise ValueError(f"form is one of {FORMS}")
         spec = rows | (cols or {})
-        df = self._codes(spec, method, primary)
+        others = {c: v for c, v in (where or {}).items() if c not in spec}
+        if others and method != "naive":
+            raise ValueError("criteria on columns that are not axes need the exact method")
+        df = self._filtered(spec, where, any_of) if others else self._codes(spec, method, primary)
         if not zero:
             df = df.where("measure <> 0")
         if form == "bits":
@@ -66,13 +70,24 @@ class UserCube:
         for c, k in spec.items():
             df = self.schema.labelled(df, c, k)
         df = df.select(*[F.col(f"`{c}_label`").alias(c) for c in spec], "measure")
-        if where:
+        if where and not others:
             df = df.where(criteria({f"`{c}`": v for c, v in where.items()}, any_of))
         if form == "tuples" or not cols:
             return df
         pivot = df.select(*[F.col(f"`{c}`") for c in rows], F.concat_ws(";", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`"), F.lit("NULL"))) for c in cols]).alias("_p"), "measure").groupBy(*[f"`{c}`" for c in rows]).pivot("_p").agg(F.sum("measure")).orderBy(*[f"`{c}`" for c in rows])
         return pivot if form == "matrix" else _arrays(pivot, list(rows))
 
+    def _filtered(self, spec: dict[str, int], where: dict[str, Sequence[str]], any_of: bool) -> DataFrame:
+        """Sums by prefixes over the rows that meet the criteria; a prefix's label counts for an axis."""
+        rows, fields = self.cube.base, {}
+        for c, texts in where.items():
+            k = spec.get(c, self.cube.columns[c])
+            rows = rows.withColumn(f"_{c}", F.shiftright(F.col(f"`{c}`"), self.cube.columns[c] - k))
+            rows = self.schema.labelled(rows, c, k, code=f"_{c}").drop(f"_{c}")
+            fields[f"`{c}_label`"] = texts
+        rows = rows.where(criteria(fields, any_of)).select(*[f"`{c}`" for c in self.cube.columns], "measure")
+        return Cube(self.cube.columns, rows).query(spec)
+
     def _codes(self, spec: dict[str, int], method: str, primary) -> DataFrame:
         if method == "naive":
             return self.cube.query(spec)

@@ -312,7 +312,7 @@ def storage_statistics(spark, d):
     """Rows of the materialized cuboids by number of dimensions."""
     c = built(spark, d)
     dims = spark.createDataFrame([(i, len(s)) for i, s in enumerate(c.sets)], "cuboid_id int, n_bits int")
-    rows = spark.read.parquet(f"{c.path}/cuboids").groupBy("cuboid_id").agg(F.count("*").alias("n"))
+    rows = c.cuboids().groupBy("cuboid_id").agg(F.count("*").alias("n"))
     return rows.join(dims, "cuboid_id").groupBy("n_bits").agg(F.count("*").alias("cuboids"), F.sum("n").alias("cells"))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellarium.ranking import ranked
+
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A top-level array of objects, or one object a line; nested fields become dotted columns."""
@@ -61,23 +63,6 @@ def with_measure(df: DataFrame, column: str | None = None, map_value: Callable[[
     return df.withColumn(name, F.coalesce((map_value(c) if map_value else c).try_cast("long"), F.lit(0).cast("long")))
 
 
-def with_row_number(df: DataFrame, order: list[str], name: str = "Time", rows: int = 100_000) -> DataFrame:
-    """Adds 0, 1, ... in the order of the first column, a number or a time (ties by the others).
-
-    Ranges of the first column are counted first; row numbers within a range start at the sum of those before it.
-    """
-    c = F.col(order[0])
-    if isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
-        key = (F.unix_date(F.to_date(c)) * 86400.0 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("double")
-    elif isinstance(df.schema[order[0]].dataType, T.DateType):
-        key = F.unix_date(c).cast("double")
-    else:
-        key = c.cast("double")
-    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    parts = max(1, min(20_000, (n or 0) // rows))
-    step = ((high or 0.0) - (low or 0.0)) / parts or 1.0
-    bucket = F.least(F.floor((key - F.lit(low or 0.0)) / F.lit(step)), F.lit(parts - 1)).cast("int")
-    b = df.withColumn("_b", F.coalesce(bucket, F.lit(-1)))
-    base = b.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    local = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
-    return b.withColumn("_r", local).join(base, "_b").withColumn(name, (F.col("_base") + F.col("_r")).cast("long")).drop("_b", "_r", "_base")
+def with_row_number(df: DataFrame, order: list[str], name: str = "Time") -> DataFrame:
+    """Adds 0, 1, ... in the order of the columns, NULL first. Ranges come from all of them, so equal times don't meet in one task."""
+    return ranked(df, order, name)

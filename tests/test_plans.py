@@ -72,5 +72,5 @@ def test_sizes():
     assert S.base2_counts(16, 6, 3, 6) == {3: 32, 4: 16, 5: 8, 6: 4}
     assert S.expected_cells(20, 2) == pytest.approx(4)
     assert S.worst_case_bytes([[0, 1], range(10)], 100, 10) == 32 + 1000
-    assert S.fd_size([1, 1], [0, 0], 100, [0, 1]) == 2
+    assert S.fd_size([1, 1], [0, 0], 100, [0, 1]) == 2 and S.fd_size([3, 1, 2], [0, 0, 1], 100, [0, 1, 2]) == 32
     assert S.score("power", 0b110, 0b011) == 2 and S.score("uncovered", 0b110, 0b011) == -1

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,55 +13,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellarium.storage import scratch
+
 #: Words one task keeps hashed; the cache starts anew beyond.
 CACHE_WORDS = 300_000
 #: Bytes of one Arrow batch, so that a few very long texts fit a Python worker.
 BATCH_BYTES = 8 << 20
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a folder of this machine only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="cellarium-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, sc = spark._jvm, spark.sparkContext._jsc
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may have ended before the interpreter
-        return
-
-
-@atexit.register
-def _clean() -> None:
-    while _written:
-        _delete(*_written.pop())
+#: Rows of one file of a table of short rows.
+FILE_ROWS = 400_000
 
 
-def written(df: DataFrame, gathered: bool = False, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, rows: int | None = None, compression: str = "snappy") -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder: lineage ends there and no executor holds the only copy.
 
-    ``gathered``: at most two files a core of the cluster, for tables of short rows that come out of shuffles; else every
-    partition leaves its own, however little it holds. The table goes when the driver's Python ends.
+    ``rows``: about how many rows of a few bytes come out of a shuffle; their files follow from it, two for each core at
+    least. Else every partition writes its own. The table goes when the driver's Python ends.
     """
     spark = df.sparkSession
-    if gathered:
-        df = df.coalesce(2 * max(1, spark.sparkContext.defaultParallelism))
-    path = f"{shared_dir(spark)}/cellarium-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+    path = scratch(spark, "table")
     df.write.option("compression", compression).parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -96,16 +72,41 @@ def id_hash(c: str | Column, seed: int = 0) -> Column:
     return F.xxhash64(F.col(c) if isinstance(c, str) else c, F.lit(seed))
 
 
-#: Parts that the rows of one key are dealt to where a key may hold a third of all rows.
-SALT = 16
+#: A key is hot with more than one in HOT_SHARE of the rows, and more than HOT_LEAST: then there are few hot keys, whatever the size.
+HOT_SHARE, HOT_LEAST = 10_000, 256
+
 
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """A join where keys may have very many rows in ``left`` and have few in ``right``. ``left`` should be a written table.
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
-    """A join where a key may have very many rows in ``left`` and has few in ``right``: left rows are dealt by the hash of
-    ``by``, right rows go to every part."""
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALT)).cast("int"))
-    return dealt.join(right.withColumn("_salt", salt), [*on, "_salt"], how).drop("_salt")
+    Keys are counted first. The rows of a hot key are dealt over parts of HOT_SHARE-th of all rows by the hash of ``by``;
+    the right rows of that key go to each of its parts, some 2 * HOT_SHARE copies in all. Only the hot keys and their
+    numbers of parts are broadcast.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("_c"))
+    most = max(HOT_LEAST, left.count() // HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("_c") > most).select(*on, F.ceil(F.col("_c") / most).cast("int").alias("_parts")))
+    dealt = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def bounded_rows(rows: DataFrame, id_col: str, text_col: str, limit: int, most_bytes: int, seed: int) -> list[dict]:
+    """For fitting: at most ``limit`` different rows whose texts have ``most_bytes`` bytes together at most, those with the least
+    hash of the id; a text that doesn't fit any more is passed over. Sorted by id, then the hash of the row."""
+    keyed = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).withColumn("_h", F.xxhash64(*rows.columns))
+    keys = keyed.select(id_col, "_h", F.octet_length(text_col).alias("_n")).distinct().orderBy(id_hash(id_col, seed), id_col, "_h").limit(limit).collect()
+    left, chosen = most_bytes, []
+    for k in keys:
+        if k["_n"] <= left:
+            left -= k["_n"]
+            chosen.append((k[0], k["_h"]))
+    if not chosen:
+        return []
+    few = rows.sparkSession.createDataFrame(chosen, keyed.select(id_col, "_h").schema)
+    found = keyed.join(F.broadcast(few), [id_col, "_h"]).dropDuplicates([id_col, "_h"]).toArrow().to_pylist()
+    found.sort(key=lambda r: (r[id_col], r.pop("_h")))
+    return found
 
 
 class WordHash(dict):
@@ -172,30 +173,3 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
-def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out: str, rows: int = 20_000, keep: str | None = None) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows before, in each group ``by``; no group is held by one task.
-
-    Rows are dealt to buckets of about ``rows`` rows by the hash of ``order[0]`` (then the order among buckets is the
-    buckets'), or by the range of the numeric column ``keep`` when the global order of that column has to hold.
-    """
-    from pyspark.sql import Window
-
-    if keep:
-        low, high, n = df.agg(F.min(keep), F.max(keep), F.count("*")).first()
-        if not n:
-            return df.withColumn(out, F.lit(0).cast("long"))
-        parts = max(1, min(20_000, n // rows))
-        step = (float(high) - float(low)) / parts or 1.0
-        df = df.withColumn("_b", F.least(F.floor((F.col(keep) - F.lit(float(low))) / F.lit(step)), F.lit(parts - 1)).cast("int"))
-    else:
-        n = df.count()
-        parts = max(1, min(20_000, n // rows))
-        df = df.withColumn("_b", F.pmod(F.xxhash64(order[0]), F.lit(parts)).cast("int"))
-    sums = df.groupBy(*by, "_b").agg(F.sum(value).alias("_s"))
-    base = sums.select(*by, "_b", (F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("long").alias("_base"))
-    local = F.coalesce(F.sum(value).over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = df.withColumn("_local", local.cast("long"))
-    joined = df.alias("l").join(base.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col("l._b") == F.col("r._b")])
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns if c not in ("_b", "_local")], (F.col("r._base") + F.col("l._local")).alias(out))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import skew_join, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # the root of a large component is a key of very many rows
+    return skew_join(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -24,16 +25,16 @@ def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v) but the roots: root is the least node that links reach.
 
-    Alternates large-star and small-star until nothing changes: about log(longest path) rounds, each of a few shuffles
+    ``rows``: a bound of the edges. Alternates large-star and small-star until nothing changes: about log(longest path) rounds, each of a few shuffles
     whose sums combine before the shuffle. Each round is written to the shared folder.
     """
-    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), gathered=True)
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
     was = _digest(e)
     while was[0]:
-        e = written(_small_star(_large_star(e)), gathered=True)
+        e = written(_small_star(_large_star(e)), 2 * was[0])
         now = _digest(e)
         if now == was:
             break

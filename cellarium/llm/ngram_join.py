@@ -3,7 +3,8 @@
 1. Equal sets are one class, held by its least doc_id.
 2. Two similar sets share one of the first n - ceil(0.8 n) + 1 shingles of any common order. Rare shingles come first
    (a bounded list of the most frequent ones ranks last), so a shingle's documents are few unless they are alike.
-3. The documents of a shingle are sorted by size and cut into tiles of bounded rows; only sizes within 0.8 meet.
+3. The documents of a shingle are ranked by size and cut into blocks of bounded rows; a tile is two blocks, and only blocks
+   whose sizes come within 0.8 of each other, and rows whose sizes do, meet.
    Each set has a parity bitmap as long as its size band asks: bits that differ bound the symmetric difference from
    below, hence the overlap from above, before texts are fetched and their sorted hash arrays intersected.
 4. First each document meets one centre of its shingle. What these links have joined needs no further comparison, so
@@ -26,10 +27,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, ascii_words, batch_of, salted_join, shingles, table, word_hash, written
+from .common import arrow_pass, ascii_words, batch_of, shingles, skew_join, table, word_hash, written
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -37,8 +38,10 @@ SHINGLE_WORDS = 5
 NUM, DEN = 80, 100
 #: Frequent shingles that rank last; each task proposes FREQUENT_LOCAL. Bounds of a broadcast list that only orders.
 FREQUENT, FREQUENT_LOCAL, FREQUENT_FOLD = 100_000, 10_000, 2_000_000
-#: Rows of one shingle that meet in one tile.
-TILE_ROWS = 1024
+#: Rows of one shingle in a block; two blocks meet in a tile.
+TILE_ROWS = 512
+#: A tile row names its document's other open shingles up to this many, so that a pair is named once; beyond, pairs repeat.
+TILE_KEYS = 64
 #: Shingles and classes of one component in a block of the count of links.
 LINK_SHINGLES, LINK_ROWS = 1_000_000, 2048
 #: Different centres that the shingles of a document can have.
@@ -183,7 +186,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     """The pairs (u, v) whose sets are similar. Both texts come by joins; every row stands alone."""
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
     right = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
-    rows = pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv")
+    rows = skew_join(pairs, right, ["v"], ["u"]).join(left, "u").select("u", "v", "tu", "tv")  # v may be the centre of very many
 
     def run(batches):
         words = word_hash()
@@ -215,7 +218,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     """The pairs (u, v) that their bitmaps leave possible."""
     left = nodes.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
     right = nodes.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
-    rows = pairs.join(left, "u").join(right, "v").select("u", "v", "bu", "bv", "nu", "nv")
+    rows = skew_join(pairs, right, ["v"], ["u"]).join(left, "u").select("u", "v", "bu", "bv", "nu", "nv")
 
     def run(batches):
         for b in batches:
@@ -262,7 +265,7 @@ def tile_pairs(sizes, comps, blocks, bits, num: int = NUM, den: int = DEN):
 def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
     """rows: (key, bi, bj, n, id, comp, block, bits, keys) sorted by key and blocks, then size, within each partition.
 
-    A pair that shares several shingles is named by the least of them only.
+    A pair that shares several shingles is named by the least of them only, where both name theirs.
     """
 
     def run(batches):
@@ -272,11 +275,11 @@ def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
 
             def of(i):
                 if i not in held:
-                    held[i] = keys[i].values.to_numpy()
+                    held[i] = keys[i].values.to_numpy() if keys[i].is_valid else None
                 return held[i]
 
             for i, j in tile_pairs(group.column("n").to_numpy().astype(np.int64), group.column("comp").to_numpy(), group.column("block").to_numpy(), group.column("bits").to_pylist(), num, den):
-                if np.intersect1d(of(i), of(j), assume_unique=True)[0] == key:
+                if of(i) is None or of(j) is None or np.intersect1d(of(i), of(j), assume_unique=True)[0] == key:
                     yield int(ids[i]), int(ids[j])
 
         rest = None
@@ -342,50 +345,64 @@ def links_of(ids: list[int], blocks: list[int], sets: list[np.ndarray], num: int
     return good.sum(axis=1)
 
 
+def _tiled(rows: DataFrame, group: str, parts: Column, by_rows: int) -> DataFrame:
+    """Adds ``tile`` (two block names, bi and bj) and ``block`` (the row's own), a row for each tile that it takes part in.
+
+    rows, a written table: ``group``, id, band. A group is cut by band, and a band into ``parts`` (an aggregate) by the
+    hash of the id; blocks of equal and of adjacent bands meet. A group of one part is one tile, of block 0.
+    """
+    name = lambda band, i: (band.cast("long") * (1 << 32) + i.cast("long") + 1).cast("long")
+    whole = rows.groupBy(group).agg(parts.alias("all")).where("all > 1").select(group)
+    own = written(rows.join(whole, group).groupBy(group, "band").agg(parts.alias("own")), by_rows)
+    beside = lambda by, c: own.select(group, (F.col("band") - by).cast("int").alias("band"), F.col("own").alias(c))
+    sides = own.join(beside(1, "up"), [group, "band"], "left").join(beside(-1, "down"), [group, "band"], "left")
+    rows = skew_join(rows, sides, [group, "band"], ["id"], "left")
+    i = F.pmod(F.xxhash64("id", F.lit(9)), F.coalesce("own", F.lit(1))).cast("long")
+    rows = rows.withColumn("block", F.when(F.col("own").isNull(), F.lit(0).cast("long")).otherwise(name(F.col("band"), i)))
+    block = F.col("block")
+
+    def tiles(c: str, by: int) -> Column:
+        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1), lambda j: name(F.col("band") + by, j))
+        made = F.transform(others, lambda o: F.struct(F.least(block, o).alias("bi"), F.greatest(block, o).alias("bj")))
+        return F.when(F.col(c).isNull(), F.array().cast("array<struct<bi:bigint,bj:bigint>>")).otherwise(made)
+
+    alone = F.array(F.struct(block.alias("bi"), block.alias("bj")))
+    every = F.when(F.col("own").isNull(), alone).otherwise(F.concat(tiles("own", 0), tiles("up", 1), tiles("down", -1)))
+    return rows.withColumn("tile", F.explode(every)).drop("own", "up", "down")
+
+
+def _band(n: Column, num: int, den: int) -> Column:
+    """Wider than the bound: only sets of equal and of adjacent bands can be similar."""
+    return F.floor(F.log(n.cast("double")) / F.lit(_band_width(num, den))).cast("int")
+
+
+def _band_width(num: int, den: int) -> float:
+    return float(np.log(1.01 * den / num))
+
+
 _COUNT = pa.schema([("id", pa.int64()), ("links", pa.int64())])
 
 
-def _links(roots: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _links(roots: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, num: int, den: int, n_rows: int) -> DataFrame:
     """(id, links): the number of other classes that each class is similar to; classes without links are left out."""
     comps = roots.select(F.col("node").alias("id"), F.col("root").alias("comp")).unionAll(roots.select(F.col("root").alias("id"), F.col("root").alias("comp"))).distinct()
-    step = F.lit(float(np.log(1.01 * den / num)))  # wider than the bound: only equal and adjacent bands meet
-    lo, hi = (F.floor(F.log(f(F.col("n")).cast("double")) / step).cast("int").alias(c) for f, c in ((F.min, "lo"), (F.max, "hi")))
     # a document of several sets stands in all bands between
-    bands = nodes.groupBy("id").agg(lo, hi, F.sum("n").alias("n")).join(comps, "id").withColumn("band", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
-    bands = written(bands, gathered=True)
-    parts = lambda: F.greatest(F.ceil(F.sum("n") / LINK_SHINGLES), F.ceil(F.count("*") / LINK_ROWS)).cast("int")
-    several = written(bands.groupBy("comp").agg(parts().alias("all")).where("all > 1").select("comp").join(bands, "comp").groupBy("comp", "band").agg(parts().alias("parts")), gathered=True)
-
-    def beside(by: int, name: str) -> DataFrame:
-        return several.select("comp", (F.col("band") - by).alias("band"), F.col("parts").alias(name))
-
-    rows = bands
-    for by, name in ((0, "own"), (1, "up"), (-1, "down")):
-        rows = rows.join(beside(by, name), ["comp", "band"], "left")
-    i = F.pmod(F.xxhash64("id", F.lit(9)), F.coalesce("own", F.lit(1))).cast("int")
-    rows = rows.withColumn("i", i)
-    tile = lambda a, x, b, y: F.struct(a.cast("int").alias("a"), x.cast("int").alias("i"), b.cast("int").alias("b"), y.cast("int").alias("j"))
-    band, i, zero = F.col("band"), F.col("i"), F.lit(0)
-    none = F.array().cast("array<struct<a:int,i:int,b:int,j:int>>")
-    steps = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
-    own = F.transform(steps("own"), lambda j: tile(band, F.least(i, j), band, F.greatest(i, j)))
-    up = F.when(F.col("up").isNull(), none).otherwise(F.transform(steps("up"), lambda j: tile(band, i, band + 1, j)))
-    down = F.when(F.col("down").isNull(), none).otherwise(F.transform(steps("down"), lambda j: tile(band - 1, j, band, i)))
-    tiles = F.when(F.col("own").isNull(), F.array(tile(zero, zero, zero, zero))).otherwise(F.concat(own, up, down))
-    name = F.when(F.col("own").isNull(), F.lit(0)).otherwise(band * 4096 + i % 4096 + (F.floor(i / 4096) * (1 << 24))).cast("long")
-    rows = rows.select("id", "comp", band.alias("home"), name.alias("block"), F.explode(tiles).alias("t"), F.col("own").isNull().alias("single"))
-    rows = rows.withColumn("home", F.when(F.col("single"), F.lit(-1)).otherwise(F.col("home"))).distinct()
-    rows = rows.join(texts, "id").select("comp", "t.a", "t.i", "t.b", "t.j", "id", "block", "home", "text")
-    keys = ["comp", "a", "i", "b", "j"]
-    width = float(np.log(1.01 * den / num))
+    spans = nodes.groupBy("id").agg(_band(F.min("n"), num, den).alias("lo"), _band(F.max("n"), num, den).alias("hi"), F.sum("n").alias("n"))
+    bands = written(spans.join(comps, "id").select("id", "comp", "n", F.explode(F.sequence("lo", "hi")).alias("band")), n_rows)
+    parts = F.greatest(F.ceil(F.sum("n") / LINK_SHINGLES), F.ceil(F.count("*") / LINK_ROWS)).cast("int")
+    rows = _tiled(bands, "comp", parts, 0)
+    rows = rows.select("id", "comp", "tile.bi", "tile.bj", "block", F.when(F.col("block") == 0, F.lit(-1)).otherwise(F.col("band")).alias("home")).distinct()
+    rows = rows.join(texts, "id").select("comp", "bi", "bj", "id", "block", "home", "text")
+    keys = ["comp", "bi", "bj"]
+    width = _band_width(num, den)
 
     def run(batches):
         words = word_hash()
         key, ids, blocks, sets, seen = None, [], [], [], set()
 
         def counted():
-            _, a, i, b, j = key
-            meet = len(ids) > 1 and ((a, i) == (b, j) or len(set(blocks)) > 1)  # the other block may have no rows
+            _, bi, bj = key
+            meet = len(ids) > 1 and (bi == bj or len(set(blocks)) > 1)  # the other block may have no rows
             got = links_of(ids, blocks, sets, num, den) if meet else np.zeros(len(ids), np.int64)
             some = np.flatnonzero(got)
             return batch_of(_COUNT, id=np.array(ids, np.int64)[some], links=got[some])
@@ -425,40 +442,44 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = facts.where("kind = 0").drop("kind")
     worded = (F.col("n") > 0) & F.col("id").isNotNull()
     classes = sets.where(worded).groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
-    sets = salted_join(sets, classes.where("m > 1").drop("m"), ["h1", "h2", "n"], ["id"], "left")
-    sets = written(sets.select("id", "n", F.when(worded, F.coalesce("rep", "id")).alias("rep"), "bits"), gathered=True)
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
+    total = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, prefix)), F.lit(0)).cast("long").alias("p")).first()
+    n_rows, most = total["n"], total["p"]
+    sets = skew_join(sets, classes.where("m > 1").drop("m"), ["h1", "h2", "n"], ["id"], "left")
+    sets = written(sets.select("id", "n", F.when(worded, F.coalesce("rep", "id")).alias("rep"), "bits"), n_rows)
     nodes = sets.where("id = rep").select("id", "n", "bits").distinct()
 
-    shared = written(_shared(_prefixes(docs, size, num, den, keys, ranks)), gathered=True)
+    shared = written(_shared(_prefixes(docs, size, num, den, keys, ranks)), most)
     tiles = shared.join(sets.where("rep is not null").select("id", "rep").distinct(), "id").select("key", F.col("rep").alias("id"), "n").distinct()
-    tiles = written(tiles, gathered=True)
+    tiles = written(tiles, shared.count())
+    most = tiles.count()
     # shingles that have the same documents are one: the digest of a shingle's documents doesn't depend on their order
     centre = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(CENTRES))).alias("h"), "id", "n"))
     ids = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (11, 12)]
     shingle = tiles.groupBy("key").agg(F.count("*").alias("m"), centre.alias("c"), *ids).where("m > 1")
     shingle = shingle.groupBy("m", "x11", "x12").agg(F.min(F.struct("key", "c")).alias("k"))
-    shingle = written(shingle.select("k.key", "m", F.col("k.c.id").alias("cid"), F.col("k.c.n").alias("cn")), gathered=True)
-    tiles = written(tiles.join(shingle, "key"), gathered=True)
+    shingle = written(shingle.select("k.key", F.col("k.c.id").alias("cid"), F.col("k.c.n").alias("cn")), most // 2)
+    tiles = written(skew_join(tiles, shingle, ["key"], ["id"]), most)
     texts = docs.where("id is not null").join(tiles.select("id").distinct(), "id", "left_semi")
     texts = written(texts)
 
     near = (F.least("n", "cn") * den >= F.greatest("n", "cn") * num) & (F.col("id") != F.col("cid"))
-    pairs = tiles.where(near).select(F.col("id").alias("u"), F.col("cid").alias("v")).distinct()
-    roots = components(_verified(_possible(pairs, nodes, num, den), texts, size, num, den))
+    pairs = written(tiles.where(near).select(F.col("id").alias("u"), F.col("cid").alias("v")).distinct(), most)
+    pairs = written(_possible(pairs, nodes, num, den), most)
+    roots = components(_verified(pairs, texts, size, num, den), n_rows)
 
-    left = tiles.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "m", F.coalesce("root", "id").alias("comp"))
-    left = written(left, gathered=True)
+    left = tiles.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("comp"))
+    left = written(left, most)
     open_ = left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-    left = written(left.join(open_, "key", "left_semi"), gathered=True)
-    facts_of = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(nodes.select("id", "bits"), "id")
-    parts = F.ceil(F.col("m") / TILE_ROWS).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    left = left.select("key", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "n", "id", "comp", "block")
-    rows = left.join(facts_of, "id").select("key", "bi", "bj", "n", "id", "comp", "block", "bits", "keys")
+    left = written(left.join(open_, "key", "left_semi").withColumn("band", _band(F.col("n"), num, den)), most)
+    named = F.when(F.count("*") <= TILE_KEYS, F.sort_array(F.collect_list("key"))).alias("keys")
+    facts_of = left.groupBy("id").agg(named).join(nodes.select("id", "bits"), "id")
+    rows = _tiled(left, "key", F.ceil(F.count("*") / TILE_ROWS).cast("int"), 0)
+    rows = rows.join(facts_of, "id").select("key", "tile.bi", "tile.bj", "n", "id", "comp", "block", "bits", "keys")
     rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n")
-    more = _verified(_tiles(rows, num, den), texts, size, num, den)
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
-    links = written(_links(roots, nodes, texts, size, num, den), gathered=True)
+    more = _verified(written(_tiles(rows, num, den).distinct(), most), texts, size, num, den)
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more), n_rows)
+    links = written(_links(roots, nodes, texts, size, num, den, n_rows), n_rows)
     roots = roots.join(links.withColumnRenamed("id", "node"), "node", "full_outer")
 
     out = sets.join(roots, F.col("rep") == F.col("node"), "left")

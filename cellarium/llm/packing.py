@@ -378,7 +378,7 @@ def pack_mixture(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     tokens = written(_tokens(docs, path, end_id), compression="zstd")
     # one row for each task and source; a task's part of a queue follows those of the tasks before
-    parts = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), gathered=True)
+    parts = written(tokens.groupBy("source", "part").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), 0)
     by_source = parts.groupBy("source").agg(F.sum("n").alias("t"))
     found = [(r["source"], r["t"]) for r in by_source.orderBy(F.desc("t"), "source").limit(QUEUES).collect()]
     all_ = by_source.agg(F.sum("t")).first()[0] or 0
@@ -400,7 +400,7 @@ def pack_mixture(
     queues = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "name string, queue int")  # QUEUES rows at most
     parts = parts.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("name")), "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
     ahead = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    places = written(parts.select("source", "part", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long").alias("base")), gathered=True)
+    places = written(parts.select("source", "part", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long").alias("base")), 0)
     near = F.broadcast(places) if places.count() <= PLACES else places
     rows = tokens.alias("t").join(near.alias("p"), (F.col("t.part") == F.col("p.part")) & F.col("t.source").eqNullSafe(F.col("p.source")))
     rows = rows.select("t.doc_id", "t.source", "t.n", (F.col("p.base") + F.col("t.local")).alias("o"), "p.queue", "t.ids")

@@ -3,12 +3,13 @@
 Documents with equal texts are linked. Every document starts in a shard by the hash of its id. In each round a linked
 document wants to be where most of its group is; an 8 x 8 table of wishes, cut to the shards' free capacity, says how
 many may go from one shard to another, and buckets of group hashes decide which, so that a group moves together. When
-no move is left, the few groups that are too large to move as one fill the shards' gaps one after another, so that each
-lies in as few shards as it can; rows beyond a quota and rows without links (they cut nothing wherever they lie) fill
-the rest, to counts that are at most one apart: law ``rows``.
+no move is left, the few groups that are too large to move as one, and then those that lie in several shards still, fill
+the shards' gaps one after another, so that only those at the end of a gap are cut; rows without links (they cut nothing
+wherever they lie) fill the rest, to counts that are at most one apart: law ``rows``.
 
 Only counts by group and shard, by shards and bucket, or by bucket travel between stages: a group of any size is
-pre-aggregated, and ranks come from two-level sums instead of one window a shard.
+pre-aggregated, joins deal the rows of large groups, and ranks come from sampled ranges of (group, row), so a group's rows
+lie in as many tasks as their number asks for.
 
 Defined results: a null text has size 1, crc32 0 and no links; empty texts are equal texts; rows that repeat are rows of
 their own; a null id is carried; other columns are ignored; an empty table gives no rows.
@@ -19,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_sum, salted_join, table, written
+from cellarium.ranking import ranked
+
+from .common import skew_join, table, written
 
 SHARDS = 8
-ROUNDS = 6
+#: Rounds at most; propagation ends before when no bucket can move.
+ROUNDS = 20
 BUCKETS = 256
-BUCKET_ROWS = 2000
 
 
 def allowed_moves(want: list[list[int]], room: list[int]) -> list[list[int]]:
@@ -103,8 +106,8 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     hot = groups.where(F.col("m") > large).orderBy(F.desc("m"), "g1", "g2").limit(4 * shards).collect()
     bucket = F.pmod(F.xxhash64("g1", "g2", F.lit(3)), F.lit(BUCKETS)).cast("int")
     small = groups.where(F.col("m") <= large)
-    linked = salted_join(base, small, ["g1", "g2", "size"], ["h"]).select("doc_id", "size", "text_crc32", "g1", "g2", "h", "m", bucket.alias("bucket"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
-    linked = written(linked, gathered=True)
+    linked = skew_join(base.where("g1 is not null"), small, ["g1", "g2", "size"], ["h"]).select("doc_id", "size", "text_crc32", "g1", "g2", "h", "m", bucket.alias("bucket"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
+    linked = written(linked, n)
 
     for _ in range(rounds):
         held = {r["shard"]: r["c"] for r in linked.groupBy("shard").agg(F.count("*").alias("c")).collect()}  # a row a shard
@@ -112,30 +115,36 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         counts = linked.groupBy("g1", "g2", "size", "shard").agg(F.count("*").alias("c"))
         most = F.max(F.struct("c", F.xxhash64("g1", "shard").alias("t"), "shard")).alias("b")  # ties fall evenly on the shards
         best = counts.groupBy("g1", "g2", "size").agg(most).select("g1", "g2", "size", F.col("b.shard").alias("best"))
-        rows = linked.join(best, ["g1", "g2", "size"])
+        rows = skew_join(linked, best, ["g1", "g2", "size"], ["h"])
         wishes = rows.where("shard <> best").groupBy("shard", "best", "bucket").agg(F.count("*").alias("c")).collect()  # shards**2 * BUCKETS rows at most
         chosen = _chosen_buckets(wishes, room, shards)
         if not chosen:
             break
-        linked = written(_moved(rows, chosen).drop("best"), gathered=True)
-
-    cols = ["doc_id", "size", "text_crc32", "m", "h", "shard"]
-    order = F.xxhash64("g1", "g2").alias("o")
-    placed = written(running_sum(linked.select(*cols, order).withColumn("one", F.lit(1).cast("long")), ["shard"], ["o", "h"], "one", "rank", rows=BUCKET_ROWS, keep="o"), gathered=True)
-    quotas = F.array(*[F.lit(q) for q in quota])
+        linked = written(_moved(rows, chosen).drop("best"), n)
+
+    keys = ["g1", "g2", "size"]
+    apart = linked.groupBy(*keys).agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a < b").select(*keys)
+    gathered = written(skew_join(linked, apart, keys, ["h"], "left_anti"), n)
+    split = skew_join(linked, apart, keys, ["h"])
+    linked = gathered
+    held = {r["shard"]: r["c"] for r in linked.groupBy("shard").agg(F.count("*").alias("c")).collect()}  # a row a shard
+    starts = [sum(held.get(t, 0) for t in range(s)) for s in range(shards)]
+    rows = linked.select("doc_id", "size", "text_crc32", "m", "h", "shard", F.xxhash64("g1", "g2").alias("o"))
+    placed = ranked(rows, ["shard", "o", "h"], "place")  # shard by shard, group by group
+    placed = placed.withColumn("rank", F.col("place") - F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("shard") + 1))
+    quotas = F.array(*[F.lit(q).cast("long") for q in quota])
     kept = placed.where(F.col("rank") < F.element_at(quotas, F.col("shard") + 1))
-    counts = {r["shard"]: r["c"] for r in kept.groupBy("shard").agg(F.count("*").alias("c")).collect()}
-    filled = [counts.get(s, 0) for s in range(shards)]
-    number = F.lit(len(hot))
+    filled = [min(held.get(s, 0), quota[s]) for s in range(shards)]
+    number = F.lit(len(hot) + 1)  # after the large groups and the split ones
     for i, r in enumerate(hot):
         number = F.when((F.col("g1") == r["g1"]) & (F.col("g2") == r["g2"]) & (F.col("size") == r["size"]), F.lit(i)).otherwise(number)
-    rows_of = F.element_at(F.array(*[F.lit(r["m"]) for r in hot], F.lit(1).cast("long")), number + 1)
-    free = salted_join(base, small.select("g1", "g2", "size"), ["g1", "g2", "size"], ["h"], "left_anti")
-    free = free.select("doc_id", "size", "text_crc32", rows_of.alias("m"), "h", number.alias("hot"))
-    over = placed.where(F.col("rank") >= F.element_at(quotas, F.col("shard") + 1)).select("doc_id", "size", "text_crc32", "m", "h", F.lit(len(hot)).alias("hot"))
-    pool = running_sum(written(free.unionAll(over).withColumn("one", F.lit(1).cast("long")), gathered=True), ["hot"], ["h"], "one", "rank", rows=BUCKET_ROWS)
-    before = [sum(r["m"] for r in hot[:i]) for i in range(len(hot) + 1)]
-    pool = pool.withColumn("at", F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("hot") + 1) + F.col("rank"))
+    rows_of = F.element_at(F.array(*[F.lit(r["m"]) for r in hot], *[F.lit(1).cast("long")] * 2), number + 1)
+    alone = base.where("g1 is null").unionByName(skew_join(base.where("g1 is not null"), small.select("g1", "g2", "size"), ["g1", "g2", "size"], ["h"], "left_anti"))
+    columns = ["doc_id", "size", "text_crc32", "m", "h", "o", "hot"]
+    free = alone.select("doc_id", "size", "text_crc32", rows_of.alias("m"), "h", F.lit(0).cast("long").alias("o"), number.alias("hot"))
+    rest_of = split.withColumns({"o": F.xxhash64("g1", "g2"), "hot": F.lit(len(hot))}).select(*columns)
+    over = placed.where(F.col("rank") >= F.element_at(quotas, F.col("shard") + 1)).withColumn("hot", F.lit(len(hot))).select(*columns)
+    pool = ranked(written(free.unionAll(rest_of).unionAll(over), n), ["hot", "o", "h"], "at")  # one group after another, then the rest
     start, shard, slot = 0, F.lit(shards - 1), F.lit(0).cast("long")
     for s in range(shards):  # the pool's ranks fill the shards' gaps in turn
         gap = quota[s] - filled[s]

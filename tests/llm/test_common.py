@@ -1,4 +1,3 @@
-import numpy as np
 from pyspark.sql import functions as F
 
 from cellarium.llm import common as C
@@ -12,17 +11,14 @@ def test_words_and_windows():
     assert len(C.shingles(h, 9)) == 1 and len(C.shingles(h[:0], 5)) == 0
 
 
-def test_running_sum(spark):
-    df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 7).alias("v"))
-    for keep in (None, "id"):
-        out = C.running_sum(df, ["g"], ["id"], "v", "s", rows=50, keep=keep).toPandas()
-        for _, part in out.groupby("g"):
-            part = part.sort_values("s" if keep is None else "id")
-            if keep:
-                assert (part["s"].to_numpy() == np.concatenate([[0], part["v"].cumsum().to_numpy()[:-1]])).all()
-            ends = sorted(zip(part["s"], part["s"] + part["v"], strict=True))
-            assert ends[0][0] == 0 and ends[-1][1] == part["v"].sum()
-    assert C.running_sum(df.limit(0), ["g"], ["id"], "v", "s", keep="id").count() == 0
+def test_skew_join(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT_LEAST", 5)
+    left = C.written(spark.range(400).select("id", F.when(F.col("id") < 300, 1).when(F.col("id") < 310, None).otherwise(F.col("id")).alias("k")))
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (320, "c"), (999, "d")], "k int, x string")
+    for how in ("inner", "left", "left_anti"):
+        got = sorted(map(tuple, C.skew_join(left, right, ["k"], ["id"], how).select("id", *(["x"] if how != "left_anti" else [])).collect()), key=str)
+        assert got == sorted(map(tuple, left.join(right, ["k"], how).select("id", *(["x"] if how != "left_anti" else [])).collect()), key=str)
+    assert C.skew_join(left.limit(0), right, ["k"], ["id"]).count() == 0
 
 
 def test_written_ends_lineage(spark):

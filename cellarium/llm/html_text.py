@@ -2,7 +2,7 @@
 
 The standard library's parser streams events. Block-level tags end a line; each line has its text, its number of tags
 and the elements around it. The text-to-tag ratios are smoothed with a Gaussian, two clusters of the smoothed values
-give a threshold. The lines above it are content; their article, or else their common container, is kept whole, with the
+give a threshold. The lines above it, whose own ratios aren't far below it, are content; their article, or else their common container, is kept whole, with the
 lists, tables and short lines in it. An article or main element is a prior only: its lines need half of the threshold,
 and it is kept with one such line, or if it holds half of the page's text; text outside it is judged as on any other page.
 What stands in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, by
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_pass, batch_of, table
 
 SIGMA = 1.5
+#: A line counts as content only if its own ratio is this part of the threshold at least: smoothing lifts what stands beside text.
+OWN = 0.25
 #: A line of an article or main element counts as content from this part of the threshold on.
 PRIOR = 2.0
 
@@ -35,11 +37,14 @@ _HOLDERS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 _FRAMES = frozenset(("html", "body"))
 _RAW = frozenset(("script", "style"))
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_NAMES = frozenset(
-    "ad ads adv advert advertisement adverts adbox banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search share sharing social "
-    "related recommended comment comments commentlist respond replies reply disqus widget toolbar pagination pager skip".split()
+#: Names of what isn't main text. The first also count as a part of a longer name.
+_PARTS = frozenset(
+    "ad ads adv advert advertisement adverts adbox sponsor sponsored promo promotion sidebar navbar navigation breadcrumb breadcrumbs "
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login sharing disqus widget toolbar pagination pager "
+    "comments commentlist replies recommended".split()
 )
+_HEADS = frozenset("header masthead topbar".split())
+_NAMES = _PARTS | _HEADS | frozenset("banner side menu nav footer notice alert search share social related comment respond reply skip".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -70,8 +75,8 @@ class _Lines(HTMLParser):
                 self._start()
             return
         _, dropped, region, article = self.stack[-1] if self.stack else ("", False, 0, False)
-        hidden = tag in _DROPPED or tag == "header" and not article or tag not in ("body", "html", *_ARTICLE) and self._named(attrs) or tag in _ARTICLE and article and self._named(attrs)
-        if tag in _INLINE and not hidden:
+        hidden = tag in _DROPPED or tag == "header" and not article or tag not in ("body", "html", *_ARTICLE) and self._named(tag, attrs, article) or tag in _ARTICLE and article and self._named(tag, attrs, article)
+        if tag in _INLINE and not hidden and not (self.stack and self.stack[-1][0] in _INLINE):  # what is inside a hidden one ends before it
             self.linked |= tag == "a"
             return
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and any(x[0] == tag for x in self.stack[-1:]):
@@ -92,13 +97,27 @@ class _Lines(HTMLParser):
         return len(self.parents) - 1
 
     @staticmethod
-    def _named(attrs) -> bool:
+    def _named(tag, attrs, article) -> bool:
+        """Whether an element's names say that it isn't main text.
+
+        Paragraphs, headings and inline elements go by whole class names or _PARTS only; their ids are anchors. Inside an
+        article, ids count whole, and what is named a header is the article's own."""
+        text = tag in _HOLDERS or tag in _INLINE
         for k, v in attrs:
             if not v:
                 if k == "hidden":
                     return True
-            elif k in ("class", "id") and not _NAMES.isdisjoint(_SPLIT.split(v.lower())) or k == "role" and v.lower() in _ROLES or k == "aria-hidden" and v == "true":
+            elif k == "role" and v.lower() in _ROLES or k == "aria-hidden" and v == "true":
                 return True
+            elif k == "class" or k == "id" and not text:
+                for name in v.lower().split():
+                    parts = _SPLIT.split(name)
+                    if article and not _HEADS.isdisjoint(parts):
+                        continue
+                    if name in _NAMES or not _PARTS.isdisjoint(parts):
+                        return True
+                    if not text and not (k == "id" and (article or tag == "section")) and not _NAMES.isdisjoint(parts):
+                        return True
         return False
 
     def handle_startendtag(self, tag, attrs):
@@ -213,9 +232,13 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
-    ratio = smoothed(size / np.maximum(1, [x[1] for x in lines]))
+    raw = size / np.maximum(1, [x[1] for x in lines])
+    ratio = smoothed(raw)
     inside = np.array([x[3] in parser.articles for x in lines])
-    content = ratio * np.where(inside, PRIOR, 1.0) >= threshold(ratio)
+    cut = threshold(ratio)
+    content = ratio * np.where(inside, PRIOR, 1.0) >= cut
+    if (dense := content & (raw >= OWN * cut)).any():
+        content = dense
     linked = np.array([2 * x[4] > len(x[0]) - x[0].count(" ") for x in lines])
     if (content & ~linked).any():  # smoothing lifts a menu beside the text
         content &= ~linked

@@ -6,11 +6,13 @@ dictionary coverage, path and neighbouring words become numbers by built-in func
 driver from labelled findings becomes one CASE expression. Candidates stay in an array beside their text, so a scan is
 one narrow pass without shuffles, and redaction joins the pieces between the candidates again.
 
-The labelled findings are a list of their own (``labelled_findings``); another may be given. The features of both come
-from the same expressions.
+The dictionary is the corpus's own: its DICTIONARY most frequent words, counted over all documents. Labelled findings are
+given as a list or a table of (c, l, r, p, y): candidate, text to its left and right, path, 1 for a secret. Without any,
+a list of the kinds that scanners report is made (``labelled_findings``). The features of both come from the same
+expressions. At most FINDINGS labelled findings are fitted, those with the least hash.
 
 Defined results: a null or empty text has no candidates; rows that repeat give findings that repeat; a null id is
-carried; other columns are ignored; an empty table gives no rows.
+carried; other columns are ignored (``redact`` keeps them, whatever their names); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import random
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,25 +31,20 @@ from .common import table
 LEAST_CHARS = 16
 _CHARS = r"A-Za-z0-9+/_~.=\-"
 _LONG = f"[{_CHARS}]{{{LEAST_CHARS},}}"
-#: Values without a long run, after = or : or a word for secrets; a value in quotes ends with them.
-_AFTER = r"(?<=[\s\"'`=:])(?<=[=:]\s{0,2}[\"'`]?|(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credentials?)(?: is)? [\"'`]?)"
-_QUOTED, _BARE = r"[^\s\"'`]", r"[^\s\"'`,;<>(){}\[\]=:]"
-_SHORT = rf"{_AFTER}(?!{_QUOTED}*?{_LONG})(?:(?<=[\"'`]){_QUOTED}|{_BARE})(?:(?<=[\"'`].){_QUOTED}{{3,}}+|[^\s\"'`,;<>(){{}}\[\]]{{3,}}+)"
+_QUOTE, _QUOTED, _BARE, _REST = r"[\"'`]", r"[^\s\"'`]", r"[^\s\"'`,;<>(){}\[\]=:]", r"[^\s\"'`,;<>(){}\[\]]"
+#: What stands before a short value: = or :, or a word for secrets.
+_HEAD = r"(?:[=:]\s{0,2}|(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credentials?)(?: is)? )"
+_NOT_LONG = f"(?!{_QUOTED}*?{_LONG})"
+#: Values without a long run; a value in quotes ends with them. Few places start with one of the first letters.
+_SHORT = f"(?=[=:aAbBcCpPsStT]){_HEAD}(?:{_QUOTE}{_NOT_LONG}{_QUOTED}{{4,}}+|{_NOT_LONG}{_BARE}{_REST}{{3,}}+)"
 CANDIDATE = f"(?<![{_CHARS}]){_LONG}+|{_SHORT}"
 LEFT_CHARS, RIGHT_CHARS = 48, 24
+#: Words of the dictionary, their least and most letters; labelled findings that a fit takes.
+DICTIONARY, WORD_CHARS, FINDINGS = 2000, (4, 14), 20_000
 #: Forest: trees, depth, least findings in a leaf; a finding is a secret from this score on.
 TREES, DEPTH, LEAF, CUT = 15, 6, 4, 0.5
 SECRET = "[SECRET]"
 
-#: Frequent words and word parts for the dictionary coverage.
-DICTIONARY = (
-    "tion", "ment", "ness", "able", "the", "and", "ing", "ent", "ion", "her", "for", "that", "with", "this", "have", "from", "was", "are", "not",
-    "name", "user", "file", "path", "list", "data", "test", "type", "value", "index", "number", "string", "count", "time", "date", "page", "config",
-    "example", "sample", "default", "version", "local", "public", "static", "class", "function", "import", "return", "module", "package", "library",
-    "token", "secret", "password", "key", "your", "here", "change", "insert", "replace", "dummy", "http", "www", "com", "org", "mail", "html",
-    "en", "er", "re", "an", "on", "in", "st", "nd", "es", "ed", "le", "ou", "ch", "sch", "ich", "eau", "elle", "que", "os", "as", "ado", "ue",
-)
-_WORDS = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
 FEATURES = ("length", "digits", "upper", "classes", "distinct", "vowels", "clusters", "dictionary", "hex", "numeric", "uuid", "assigned", "secret_word", "near_word", "benign_word", "placeholder", "path", "slashes", "prefix", "symbols")
 
 
@@ -61,8 +59,34 @@ def _flag(c: Column) -> Column:
 _SECRET_WORD = r"(token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
 
 
-def features(x: Column) -> Column:
-    """A struct of doubles for a candidate x: c (itself), l and r (text to its left and right), p (path)."""
+def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
+    """The most frequent words of all texts, in lower case, ASCII letters only; ``size`` of them at most."""
+    low, high = WORD_CHARS
+    words = docs.select(F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("w")).where(F.length("w").between(low, high))
+    return [r["w"] for r in words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(size).collect()]
+
+
+def pattern_of(words: list[str]) -> str:
+    """A pattern of any of the words, the longest that fits; words with a common beginning share it."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def text(node: dict) -> str:
+        more = [c + text(n) for c, n in sorted(node.items()) if c]
+        if not more:
+            return ""
+        return (more[0] if len(more) == 1 and "" not in node else f"(?:{'|'.join(more)})") + ("?" if "" in node else "")
+
+    return text(tree) or "(?!)"
+
+
+def features(x: Column, words: str) -> Column:
+    """A struct of doubles for a candidate x: c (itself), l and r (text to its left and right), p (path). words: the
+    dictionary's pattern."""
     c, left, right, path = x["c"], F.right(x["l"], F.lit(LEFT_CHARS)), F.left(x["r"], F.lit(RIGHT_CHARS)), F.lower(F.coalesce(x["p"], F.lit("")))
     low, near = F.lower(c), F.lower(F.concat(left, F.lit(" "), right))
     values = (
@@ -73,7 +97,7 @@ def features(x: Column) -> Column:
         F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
         _share(low, "[aeiouy](?=[bcdfghjklmnpqrstvwxz])"),
         _share(low, "[bcdfghjklmnpqrstvwxz]{4}"),
-        F.lit(1.0) - F.length(F.regexp_replace(low, _WORDS, "")) / F.length(c),
+        F.lit(1.0) - F.length(F.regexp_replace(low, words, "")) / F.length(c),
         _flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         _flag(c.rlike(r"^[0-9._=+/\-]+$")),
         _flag(c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
@@ -90,13 +114,14 @@ def features(x: Column) -> Column:
     return F.struct(*[v.cast("double").alias(n) for n, v in zip(FEATURES, values, strict=True)])
 
 
-def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
-    """(candidate, left, right, path, 1 for a secret): the kinds that scanners report, half of them false positives."""
+def labelled_findings(words: list[str] = (), n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
+    """(candidate, left, right, path, 1 for a secret): the kinds that scanners report, half of them false positives, in
+    the given words; without any in made-up ones."""
     r = random.Random(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     syllables = [a + b for a in ("th", "er", "st", "n", "r", "l", "sch", "ch", "m", "p", "qu", "v", "t") for b in ("a", "e", "i", "on", "en", "ou", "eau", "an", "ing", "ion")]
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
-    word = lambda a, b: "".join(r.choice(syllables) for _ in range(r.randint(a, b)))
+    word = lambda a, b: _made(r, words, syllables, a, b)
     prose = lambda: " ".join(word(1, 3) for _ in range(r.randint(2, 6)))
     b64 = lambda k: base64.b64encode(r.randbytes(k)).decode()
     hexa = lambda: pick("0123456789abcdef", r.choice((32, 40, 64)))
@@ -148,16 +173,27 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
         if len(c) < LEAST_CHARS:
             c += "." + word(4, 8)
         out.append((c, left[-LEFT_CHARS:], right[:RIGHT_CHARS], path, 0))
-    return out + short_findings(n // 4, seed)
+    return out + short_findings(words, n // 4, seed)
+
 
+def _made(r: random.Random, words, syllables: list[str], a: int, b: int) -> str:
+    """A made-up word of a to b syllables, or about as many letters of given words one after another."""
+    n = r.randint(a, b)
+    if not words or r.random() < 0.25:
+        return "".join(r.choice(syllables) for _ in range(n))
+    out = r.choice(words)
+    while len(out) < 2 * n:
+        out += r.choice(words)
+    return out
 
-def short_findings(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
+
+def short_findings(words: list[str], n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
     """The same for values of less than 16 characters or with signs in them: passwords and short keys; words, numbers and placeholders."""
     r = random.Random(seed + 1)
     lower, upper, digits, signs = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!@#$%^&*?+-_"
     syllables = [a + b for a in ("th", "er", "st", "n", "r", "l", "sch", "m", "p", "v", "t", "h", "s", "d") for b in ("a", "e", "i", "on", "en", "ou", "an", "ing")]
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
-    word = lambda a, b: "".join(r.choice(syllables) for _ in range(r.randint(a, b)))
+    word = lambda a, b: _made(r, words, syllables, a, b)
     prose = lambda: " ".join(word(1, 3) for _ in range(r.randint(2, 6)))
     secret = ("password", "Password", "passwd", "pwd", "DB_PASSWORD", "secret", "client_secret", "api_key", "API key", "apikey", "token", "auth_token", "access_key")
     plain = ("name", "count", "note", "title", "lang", "user", "version", "id", "size", "host", "page", "Note", "that is", "path", "color", "date")
@@ -196,8 +232,9 @@ def short_findings(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
                 left += r.choice(plain) + r.choice(assign)
             else:
                 c, left = mixed(), left + r.choice(plain) + r.choice(assign)
+        c = c[: LEAST_CHARS - 1] if c.isalnum() else c
         if len(c) < 4:
-            c += word(2, 3)
+            c += word(2, 3)[:8]
         out.append((c, left[-LEFT_CHARS:], right[:RIGHT_CHARS], r.choice(("", "src0", "src7", ".env", "web", "notes", "deploy/prod.yml")), y))
     return out
 
@@ -258,63 +295,110 @@ def _votes(trees: list, f: Column) -> Column:
     return total / F.lit(float(len(trees)))
 
 
-def trained(spark: SparkSession, findings: list | None = None) -> list:
-    """The forest, from the features that Spark gives the labelled findings. Their number is bounded by their list."""
-    findings = labelled_findings() if findings is None else findings
-    rows = spark.createDataFrame(findings, "c string, l string, r string, p string, y int")
-    got = rows.select(features(F.struct("c", "l", "r", "p")).alias("f"), "y").collect()
-    return forest(np.array([list(g["f"]) for g in got]), np.array([g["y"] for g in got], float))
+@dataclass(frozen=True)
+class Scanner:
+    trees: list
+    words: str
+
 
+def trained(docs: DataFrame, findings: list | DataFrame | None = None, text_col: str = "text") -> Scanner:
+    """The dictionary of ``docs``, and the forest from the features that Spark gives the labelled findings."""
+    spark, found = docs.sparkSession, dictionary(docs, text_col)
+    words = pattern_of(found)
+    if findings is None:
+        findings = labelled_findings(found)
+    if isinstance(findings, list):
+        findings = spark.createDataFrame(findings, "c string, l string, r string, p string, y int")
+    rows = findings.where("c is not null and y is not null").orderBy(F.xxhash64("c", "l", "r", "p"), "c", "l", "r", "p", "y").limit(FINDINGS)
+    text = [F.coalesce(k, F.lit("")).alias(k) for k in ("c", "l", "r", "p")]
+    got = rows.select(*text, "y").select(features(F.struct("c", "l", "r", "p"), words).alias("f"), "y").collect()
+    if not got:
+        return Scanner([0.0], words)
+    return Scanner(forest(np.array([list(g["f"]) for g in got]), np.array([g["y"] for g in got], float)), words)
 
-def scored(text: Column, path: Column, trees: list) -> tuple[Column, Column]:
+
+def scored(text: Column, path: Column, scanner: Scanner) -> tuple[Column, Column]:
     """An array of (l, c, s): the text before each candidate, itself, its score; and the text after the last candidate.
 
     Each candidate's features are bound once, as the only element of an array, before the trees look at them.
     """
     once = F.array(F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("f"), F.split(text, CANDIDATE, -1).alias("p")))
-    rows = F.element_at(F.transform(once, lambda z: _scored(z["f"], z["p"], path, trees)), 1)
+    rows = F.element_at(F.transform(once, lambda z: _scored(z["f"], z["p"], path, scanner)), 1)
     return rows, F.element_at(F.split(text, CANDIDATE, -1), -1)
 
 
-def _scored(found: Column, pieces: Column, path: Column, trees: list) -> Column:
+def _scored(found: Column, pieces: Column, path: Column, scanner: Scanner) -> Column:
     n = F.size(pieces) - 1
+    # what a short value stands after belongs to the text before it
+    heads = F.transform(found, lambda f: F.when(f.rlike(f"^{_LONG}$"), F.lit("")).otherwise(F.regexp_extract(f, f"^{_HEAD}{_QUOTE}?", 0)))
+    cut = F.arrays_zip(found.alias("f"), heads.alias("h"), F.slice(pieces, F.lit(1), n).alias("p"))
+    cut = F.transform(cut, lambda x: F.struct(F.concat(x["p"], x["h"]).alias("l"), F.substring(x["f"], F.length(x["h"]) + 1, F.length(x["f"])).alias("c")))
+    return F.element_at(F.transform(F.array(cut), lambda z: _with_context(z, F.element_at(pieces, -1), path, scanner)), 1)
+
+
+def _with_context(cut: Column, last: Column, path: Column, scanner: Scanner) -> Column:
+    n = F.size(cut)
+    lefts = F.transform(cut, lambda x: x["l"])
     # a short candidate beside another one stays in its context
-    brief = F.transform(found, lambda c: F.when(F.length(c) < LEAST_CHARS, c).otherwise(F.lit("")))
-    before = F.transform(F.arrays_zip(F.slice(pieces, F.lit(1), n).alias("l"), brief.alias("b")), lambda x: F.when(x["b"] == "", "").otherwise(F.concat(F.right(x["l"], F.lit(LEFT_CHARS)), x["b"])))
+    brief = F.transform(cut, lambda x: F.when(F.length(x["c"]) < LEAST_CHARS, x["c"]).otherwise(F.lit("")))
+    before = F.transform(cut, lambda x: F.when(F.length(x["c"]) >= LEAST_CHARS, F.lit("")).otherwise(F.concat(F.right(x["l"], F.lit(LEFT_CHARS)), x["c"])))
     zipped = F.arrays_zip(
-        found.alias("c"), F.slice(pieces, F.lit(1), n).alias("l"), F.slice(pieces, F.lit(2), n).alias("r"),
+        cut.alias("x"), F.slice(F.concat(lefts, F.array(last)), F.lit(2), n).alias("r"),
         F.slice(F.concat(F.array(F.lit("")), before), F.lit(1), n).alias("b"), F.slice(F.concat(brief, F.array(F.lit(""))), F.lit(2), n).alias("a"),
     )
-    return F.transform(zipped, lambda x: F.struct(x["l"].alias("l"), x["c"].alias("c"), F.element_at(F.transform(F.array(features(F.struct(x["c"].alias("c"), F.concat(x["b"], x["l"]).alias("l"), F.concat(x["r"], x["a"]).alias("r"), path.alias("p")))), lambda f: _votes(trees, f)), 1).alias("s")))
+
+    def one(z: Column) -> Column:
+        x = z["x"]
+        seen = F.struct(x["c"].alias("c"), F.concat(z["b"], x["l"]).alias("l"), F.concat(z["r"], z["a"]).alias("r"), path.alias("p"))
+        score = F.element_at(F.transform(F.array(features(seen, scanner.words)), lambda f: _votes(scanner.trees, f)), 1)
+        return F.struct(x["l"].alias("l"), x["c"].alias("c"), score.alias("s"))
+
+    return F.transform(zipped, one)
 
 
-def scan(docs: DataFrame, trees: list, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """A row for each candidate: doc_id, finding (its number in the text), n_chars, crc32, score, is_secret."""
+def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+    """A row for each candidate: doc_id, finding (its number in the text), candidate, start (code points before it),
+    n_chars, crc32, score, is_secret."""
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    rows, _ = scored(F.col(text_col), path, trees)
-    rows = docs.where(F.col(text_col).rlike(CANDIDATE)).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(rows).alias("finding", "x"))
-    return rows.select("doc_id", F.col("finding").cast("long").alias("finding"), F.length("x.c").cast("long").alias("n_chars"), F.crc32(F.encode("x.c", "UTF-8")).alias("crc32"), F.round("x.s", 6).alias("score"), (F.col("x.s") >= CUT).alias("is_secret"))
+    rows, _ = scored(F.col(text_col), path, scanner)
+    rows = docs.where(F.col(text_col).rlike(CANDIDATE)).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(placed(rows)).alias("finding", "x"))
+    return rows.select("doc_id", F.col("finding").cast("long").alias("finding"), F.col("x.c").alias("candidate"), F.col("x.at").alias("start"), F.length("x.c").cast("long").alias("n_chars"), F.crc32(F.encode("x.c", "UTF-8")).alias("crc32"), F.round("x.s", 6).alias("score"), (F.col("x.s") >= CUT).alias("is_secret"))
+
+
+def placed(rows: Column) -> Column:
+    """(c, s, at) of each candidate: at counts the code points before it, the sum of what stands before."""
+
+    def of(found: Column) -> Column:
+        ends = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x["l"]) + F.length(x["c"])))
+        to = F.slice(F.aggregate(found, F.array(F.lit(0)), ends), F.lit(2), F.size(found))  # where each candidate ends
+        return F.transform(F.arrays_zip(found.alias("x"), to.alias("e")), lambda z: F.struct(z["x"]["c"].alias("c"), z["x"]["s"].alias("s"), (z["e"] - F.length(z["x"]["c"])).cast("long").alias("at")))
+
+    return F.element_at(F.transform(F.array(rows), of), 1)  # bound once
 
 
-def redact(docs: DataFrame, trees: list, text_col: str = "text", path_col: str | None = "source", count_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, scanner: Scanner, text_col: str = "text", path_col: str | None = "source", count_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every secret replaced by ``SECRET``; ``count_col`` is counted anew for the texts that change."""
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    rows, last = scored(F.col(text_col), path, trees)
+    rows, last = scored(F.col(text_col), path, scanner)
     parts = F.transform(rows, lambda x: F.concat(x["l"], F.when(x["s"] >= CUT, F.lit(SECRET)).otherwise(x["c"])))
     clean = F.when(F.col(text_col).rlike(CANDIDATE), F.concat(F.array_join(parts, ""), last)).otherwise(F.col(text_col))
+    own = "_clean"
+    while own in docs.columns:
+        own += "_"
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(F.col("_clean").alias(c))
+            out.append(F.col(own).alias(c))
         elif c == count_col:
-            out.append(F.when(F.col("_clean") != F.col(text_col), F.length("_clean").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            out.append(F.when(F.col(own) != F.col(text_col), F.length(own).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
-            out.append(F.col(c))
-    return docs.withColumn("_clean", clean).select(*out)
+            out.append(F.col(f"`{c}`"))
+    return docs.withColumn(own, clean).select(*out)
 
 
 def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), trained(spark))
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, trained(docs)).drop("candidate")  # its digest stands for it
 
 
 QUERIES = {"op3_secret_forest": op3_secret_forest}

@@ -6,7 +6,7 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.llm import decontaminate, langid, ngram_join, packing, secrets
@@ -19,26 +19,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least doc_id. Rows without doc_id stay."""
+    """One document of each group stays: the one with the least doc_id; of rows that share it, the one with the least hash
+    of all columns. Rows without doc_id stay, as do texts without words. Columns may have any names."""
     joined = ngram_join.ngram_jaccard_join(docs)
-    keep = joined.where("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))  # sorted so by the join already
-    rows = docs.join(keep, "doc_id").withColumn("_n", one).where("_n = 1").select(*docs.columns)
-    return rows.unionAll(docs.where("doc_id is null"))
+    keep = joined.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(keep, docs["doc_id"] == F.col("_kept"), "left_semi")
+    # rows of one id: the least hash stays, whatever the order they come in
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = rows.groupBy("doc_id").agg(F.min_by(whole, F.struct(F.xxhash64(whole), F.xxhash64(whole, F.lit(1)))).alias("_row"))
+    return one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]).unionAll(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; without documents or items nothing goes."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced."""
-    return secrets.redact(docs, secrets.trained(spark))
+    """Secrets are replaced, and n_chars counted anew where they were. Null and empty texts have none; no row goes."""
+    return secrets.redact(docs, secrets.trained(docs))
 
 
 def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens, each in the proportions of the sources."""
+    """Sequences of 4096 tokens, each in the proportions of the sources. A null or empty text is its end token; no documents,
+    no sequences."""
     return packing.pack_mixture(docs)
 
 

@@ -9,7 +9,7 @@ from cellarium.functions import encoders as E
 from cellarium.operators import analytics as A
 from cellarium.operators import cuboid as C
 from cellarium.queries.common import CENTS, STAR, SUM, query
-from cellarium.sources import files, generators
+from cellarium.sources import datasets, files, generators
 from cellarium.sources.star import star, table
 
 
@@ -53,19 +53,31 @@ def generator_values(spark, d):
     return generators.tuples(spark, 1000, {"c": generators.constant(5), "lin": lin, "sn": generators.sine(100, 50), "mp": generators.mapped(lin, lambda c: c * 3), "sm": generators.summed(generators.constant(5), lin)})
 
 
-@query()
+@query("SELECT replaced, CAST(4096 AS BIGINT) AS total, TRUE AS in_range, NOT replaced AS all_differ FROM (VALUES (TRUE), (FALSE)) t(replaced)")
 def generator_random_cube(spark, d):
-    return generators.random_cube(spark, 16, 12, seed=1).groupBy("key").agg(F.sum("measure").alias("measure"))
+    """What holds for every seed: the number of rows, the range of keys, and whether all differ."""
+    out = None
+    for again in (True, False):
+        rows = generators.random_cube(spark, 16, 12, seed=1, replace=again)
+        one = rows.agg(F.sum("measure").alias("total"), F.bool_and(F.col("key").between(0, (1 << 16) - 1)).alias("in_range"), (F.count_distinct("key") == F.count("*")).alias("all_differ")).select(F.lit(again).alias("replaced"), "*")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
-@query()
+@query("SELECT CAST(range AS BIGINT) AS idx, CAST(FLOOR(1000000.0 * POWER(0.3, bit_count(range)) * POWER(0.7, 10 - bit_count(range))) AS BIGINT) AS measure FROM range(1024)")
 def generator_micro_bench(spark, d):
-    return generators.micro_bench(spark, 10, seed=2)
+    """Without noise every cell is its product."""
+    return generators.micro_bench(spark, 10, stddev=0.0, seed=2)
 
 
-@query()
+@query("SELECT * FROM (VALUES ('u', 5000::BIGINT, TRUE, FALSE), ('h', 5000, TRUE, TRUE), ('t', 5000, TRUE, FALSE), ('walk', 5000, TRUE, FALSE), ('random', 5000, TRUE, FALSE)) x(name, n, in_range, mostly_small)")
 def generator_sampled_columns(spark, d):
-    return generators.tuples(spark, 5000, {"u": lambda t: generators.uniform(16, 1), "h": lambda t: generators.half_gaussian(16, 2), "t": lambda t: generators.trend(t, 32, 5000, 3)})
+    """Sampled columns keep to their ranges; the half Gaussian one is mostly small."""
+    top = {"u": 15, "h": 15, "t": 31, "walk": 15, "random": 15}
+    rows = generators.tuples(spark, 5000, {"u": lambda t: generators.uniform(16, 1), "h": lambda t: generators.half_gaussian(16, 2), "t": lambda t: generators.trend(t, 32, 5000, 3), "random": generators.random_value(0, 15, 4)})
+    rows = rows.join(generators.random_walk(spark, 16, 5000, 5).withColumnRenamed("code", "walk"), "Time")
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("v"), F.lit(k).alias("top")) for c, k in top.items()])).alias("x")).select("x.*")
+    return long.groupBy("name").agg(F.count("*").alias("n"), F.bool_and(F.col("v").between(0, F.col("top"))).alias("in_range"), (F.avg(F.when(F.col("v") < (F.col("top") + 1) / 2, 1.0).otherwise(0.0)) > 0.85).alias("mostly_small"))
 
 
 @query("""SELECT CAST(c_nationkey AS INT) AS custnation, CAST(s_nationkey AS INT) AS suppnation, CAST(SUM(CAST(FLOOR(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 100 + 0.5) AS BIGINT)) AS BIGINT) AS measure
@@ -74,6 +86,15 @@ def join_dimension_lookup(spark, d):
     return star(spark, d, ["custnation", "suppnation"]).groupBy("custnation", "suppnation").agg(F.sum("measure").alias("measure"))
 
 
+@query("SELECT c_mktsegment, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def join_checked_lookup(spark, d):
+    """Lookups that fail on a missing key instead of dropping rows."""
+    facts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    rows = datasets.looked_up(facts, [(orders, "o_orderkey"), (table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")])
+    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
 @query("SELECT event_id, COALESCE(CASE WHEN event_id % 2 = 0 THEN user_id END, CASE WHEN event_id % 2 = 1 THEN user_id + 1000 END) AS merged FROM events")
 def join_merge_renamed(spark, d):
     from cellarium.sessions import ExploreSession

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cellarium.operators import cuboid as C
@@ -16,7 +14,7 @@ from cellarium.solvers import ipf, linear
 from cellarium.solvers import moments as V
 from cellarium.sources import workload
 from cellarium.sources.star import BY_NAME, star, table
-from cellarium.storage import shared_dir
+from cellarium.storage import scratch
 from cellarium.streaming import ingest, sampling
 
 COLUMNS = ("returnflag", "linestatus", "discount", "quantity", "custregion")
@@ -31,7 +29,7 @@ def built(spark, d) -> Cube:
     """A cube with its base and sixty-odd prefix cuboids in the shared folder."""
     c = cube(spark, d)
     columns = [c.column_bits(n) for n in c.columns]
-    return c.materialize(M.schema_based(columns, 6, 3, 8, seed=4), f"{shared_dir(spark)}/cube-{uuid.uuid4().hex}")
+    return c.materialize(M.schema_based(columns, 6, 3, 8, seed=4), scratch(spark, "cube"))
 
 
 #: Returned, open status, high half of the quantities, high discounts: one bit each, numbered as in the cube.
@@ -172,71 +170,6 @@ def solve_product(spark, d):
     return _frame(spark, X.one_d_product(4, total, ones), 1)
 
 
-@query()
-def solve_strategies(spark, d):
-    """Every extrapolation strategy's error against the exact answer."""
-    x = _cells(spark, d)
-    parts = X.marginals_of(x, [3, 6, 12, 9])
-    return spark.createDataFrame([(s, V.l1_error(x, X.solve(4, parts, s)), float(X.error_bound(4, parts, s) / x.sum())) for s in X.STRATEGIES], "strategy string, l1 double, bound double")
-
-
-@query()
-def solve_average(spark, d):
-    x = _cells(spark, d)
-    return _frame(spark, X.average(4, X.marginals_of(x, [3, 6, 12]), *V.primary(x)))
-
-
-@query()
-def solve_batch(spark, d):
-    """An approximate answer from the catalog's cuboids that don't cover the query."""
-    c = built(spark, d)
-    q = sorted(b for n, k in {"quantity": 3, "custregion": 2, "discount": 2, "returnflag": 2}.items() for b in c.prefix_bits(n, k))
-    return _frame(spark, c.solve(q, primary=c.primary_moments()))
-
-
-@query()
-def solve_ipf(spark, d):
-    """Vanilla, tree-ordered, junction-tree, dropout and loopy fitting: errors against the exact answer."""
-    x = _cells(spark, d)
-    parts = X.marginals_of(x, [3, 6, 12, 9])
-    runs = {"vanilla": ipf.vanilla, "tree_ordered": ipf.tree_ordered, "effective": ipf.effective, "dropout_dimension": lambda q, p: ipf.dropout(q, p, "dimension"), "dropout_entropy": lambda q, p: ipf.dropout(q, p, "entropy"), "loopy": ipf.loopy}
-    return spark.createDataFrame([(n, V.l1_error(x, f(4, parts))) for n, f in runs.items()], "solver string, l1 double")
-
-
-@query()
-def solve_bounds(spark, d):
-    """Exact bounds of each cell; the true value lies between them."""
-    x = _cells(spark, d)
-    b = linear.Bounds(4)
-    for mask, v in X.marginals_of(x, [3, 6, 12]):
-        b.add(mask, [int(a) for a in v])
-    return spark.createDataFrame([(i, float(c.low), float(c.high), float(x[i])) for i, c in enumerate(b.tighten())], "idx long, low double, high double, truth double")
-
-
-@query()
-def online_moments(spark, d):
-    c = built(spark, d)
-    q = query_bits(c)
-    x = C.dense_array(c.naive(q), len(q))
-    return spark.createDataFrame([(i, df, V.l1_error(x, y)) for i, (df, y) in enumerate(c.online(q))], "step int, degrees int, l1 double")
-
-
-@query()
-def online_bounds(spark, d):
-    c = built(spark, d)
-    q = query_bits(c)
-    return spark.createDataFrame([(i, b.degrees, float(sum(x.span for x in b.cells))) for i, b in enumerate(c.online_bounds(q))], "step int, degrees int, span double")
-
-
-@query()
-def sampling_online(spark, d):
-    c = cube(spark, d)
-    q = query_bits(c)
-    x = C.dense_array(c.naive(q), len(q))
-    steps = sampling.online(c.base, list(c.columns), [c.bit_column(b) for b in q])
-    return spark.createDataFrame([(i, float(s), V.l1_error(x, y)) for i, (s, y) in enumerate(steps)], "step int, share double, l1 double")
-
-
 @query()
 def sampling_solvers(spark, d):
     """A sample alone, with known central moments, and as the start of a fit."""
@@ -251,7 +184,7 @@ def sampling_solvers(spark, d):
 
 @query("SELECT event_type, CAST(hour(ts) AS INT) AS hour, CAST(SUM(CAST(FLOOR(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS measure, COUNT(*) AS cnt FROM events GROUP BY 1, 2")
 def streaming_ingest(spark, d):
-    path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    path = scratch(spark, "ingest")
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     ingest.ingest(stream, {"event_type": F.col("event_type"), "hour": F.hour("ts")}, F.floor(F.col("value") * 100 + 0.5).cast("long"), f"{path}/parts", f"{path}/checkpoint")
@@ -263,41 +196,12 @@ def strategy_counts(spark, d):
     return spark.createDataFrame(sorted(M.base2_counts(16, 6, 3, 6).items()), "d int, n int")
 
 
-@query()
-def strategy_sets(spark, d):
-    columns = [[0, 1, 2], [3, 4], [5, 6, 7, 8], [9]]
-    runs = {"randomized": M.randomized(10, 4, 2, 5), "schema_based": M.schema_based(columns, 4, 2, 5), "dynamic": M.dynamic_schema(columns, [10, 11, 12, 13], 4, 2, 5), "old": M.old_randomized(10, 0.1, 1.2), "single": M.single_size(10, 4, 3), "budgeted": M.budgeted(10, 12, 3, 0.25), "all_or_nothing": M.all_or_nothing(columns, 7), "base": M.only_base(10), "subsets": M.all_subsets_of(10, [1, 5, 9])}
-    return spark.createDataFrame([(n, i, list(s)) for n, sets in runs.items() for i, s in enumerate(sets)], "strategy string, number int, bits array<int>")
-
-
-@query()
-def prepare_plans(spark, d):
-    """Which cuboids a query's plans name."""
-    sets = M.randomized(12, 7, 2, 6, seed=1)
-    ix = I.CuboidIndex(sets, 12)
-    q = [1, 4, 7, 10]
-    plans = {"naive": [ix.prepare_naive(q)], "batch": ix.prepare_batch(q), "online": ix.prepare_online(q, 2)}
-    return spark.createDataFrame([(n, i, f.covered, f.cuboid, f.cost) for n, p in plans.items() for i, f in enumerate(p)], "plan string, step int, covered int, cuboid int, cost int")
-
-
-@query()
-def build_plan(spark, d):
-    sets = M.randomized(10, 6, 2, 5, seed=2)
-    return spark.createDataFrame([(i, len(s), p, b, f) for i, (s, p, b, f) in enumerate(zip(sets, I.parents(sets), I.parents_base(sets), I.parents_first(sets), strict=True))], "cuboid int, n_bits int, parent int, base int, first int")
-
-
 @query(STAR + f" SELECT CAST(0 AS INT) AS query, CAST(((returnflag >> 1) & 1) + 2 * linestatus AS BIGINT) AS idx, {SUM} FROM star GROUP BY 2 UNION ALL SELECT 1, CAST(quantity >> 4 AS BIGINT), {SUM} FROM star GROUP BY 2")
 def workload_truth(spark, d):
     c = cube(spark, d)
     return workload.true_results(c, [[*c.prefix_bits("returnflag", 1), *c.prefix_bits("linestatus", 1)], c.prefix_bits("quantity", 2)])
 
 
-@query()
-def workload_generate(spark, d):
-    c = cube(spark, d)
-    return spark.createDataFrame([(i, list(q)) for i, q in enumerate(workload.generate(c, [2, 4, 6], 5, seed=3))], "query int, bits array<int>")
-
-
 @query("SELECT CAST(idx AS BIGINT) AS idx, ROUND(v, 1) AS v FROM (" + _CELLS3 + "f AS (SELECT *, m3*m4/t + m5*m2/t + m6*m1/t - 2*m1*m2*m4/(t*t) AS m7 FROM m) SELECT 0 AS idx, m1-m3-m5+m7 AS v FROM f UNION ALL SELECT 1, m5-m7 FROM f)")
 def solve_slice(spark, d):
     """Only the cells with the first bit set and the second not."""
@@ -307,15 +211,6 @@ def solve_slice(spark, d):
     return _frame(spark, s.solve_slice({0: 1, 1: 0}), 1)
 
 
-@query()
-def storage_statistics(spark, d):
-    """Rows of the materialized cuboids by number of dimensions."""
-    c = built(spark, d)
-    dims = spark.createDataFrame([(i, len(s)) for i, s in enumerate(c.sets)], "cuboid_id int, n_bits int")
-    rows = c.cuboids().groupBy("cuboid_id").agg(F.count("*").alias("n"))
-    return rows.join(dims, "cuboid_id").groupBy("n_bits").agg(F.count("*").alias("cuboids"), F.sum("n").alias("cells"))
-
-
 def _events(spark, d):
     from cellarium.operators.user import UserCube
 
@@ -362,16 +257,6 @@ def moment_store(spark, d):
     return S.build(c, [*c.prefix_bits("returnflag", 1), *c.prefix_bits("linestatus", 1), *c.prefix_bits("discount", 1)], 2)
 
 
-@query()
-def solve_from_store(spark, d):
-    """The same answer as from marginals, from stored moments."""
-    from cellarium.operators import moment_store as S
-
-    c = cube(spark, d)
-    bits = query_bits(c)
-    return _frame(spark, S.solve(S.build(c, bits, 2), range(len(bits)), 2))
-
-
 @query()
 def fetch_statistics(spark, d):
     """How many bits the projections of a workload's plans share with their queries."""
@@ -386,3 +271,251 @@ def shuffled_group(spark, d):
     """The third group of about 64 rows of the shuffled base cuboid."""
     c = cube(spark, d)
     return sampling.group(sampling.shuffled(c.base, list(c.columns)), c.base.count(), 2)
+
+
+# closed forms ---------------------------------------------------------------------------------------------------------
+_G = STAR + """, g AS (SELECT CAST(r.range AS BIGINT) AS idx, r.range & 1 AS a, (r.range >> 1) & 1 AS b, (r.range >> 2) & 1 AS c, CAST(COALESCE(s.v, 0) AS DOUBLE) AS v
+ FROM range(8) r LEFT JOIN (SELECT ((returnflag >> 1) & 1) + 2 * linestatus + 4 * ((quantity >> 5) & 1) AS k, SUM(measure) AS v FROM star GROUP BY 1) s ON s.k = r.range)"""
+
+
+def _bits3(c: Cube) -> list[int]:
+    return sorted(b for n in ("linestatus", "quantity", "returnflag") for b in c.prefix_bits(n, 1))
+
+
+def _exact3(spark, d):
+    c = cube(spark, d)
+    return C.dense_array(c.naive(_bits3(c)), 3)
+
+
+def _rows(spark, found: dict, digits: int = 0):
+    return spark.createDataFrame([(n, i, round(float(v), digits) + 0.0) for n, x in found.items() for i, v in enumerate(x)], "solver string, idx long, v double")
+
+
+_STRATEGIES = {
+    "avg": "(m3 + m5 + m6) / 6", "avg2": "(t * 0.125 + (m1 + m2 + m4) * 0.5 + (m3 + m5 + m6) * 2) / 19", "cumulant": "co", "comoment": "co", "comoment_frechet": "LEAST(GREATEST(co, lo), GREATEST(lo, hi))",
+    "mean_product": "m1*m2*m4/(t*t)", "zero": "0.0", "half_power": "t / 8", "frechet_upper": "hi", "frechet_mid": "(lo + hi) / 2", "low_variance": "LEAST(GREATEST(t / 8, lo), GREATEST(lo, hi))", "error bound": "hi - lo",
+}
+
+
+@query(_CELLS3 + "f AS (SELECT *, m3*m4/t + m5*m2/t + m6*m1/t - 2*m1*m2*m4/(t*t) AS co, GREATEST(0, m3+m5-m1, m3+m6-m2, m5+m6-m4) AS lo, LEAST(m3, m5, m6) AS hi FROM m) " + " UNION ALL ".join(f"SELECT '{n}' AS strategy, ROUND({e}, 1) AS m7 FROM f" for n, e in _STRATEGIES.items()))
+def solve_strategies(spark, d):
+    """The moment of three bits that every strategy extrapolates from those of pairs, and the bound of its error."""
+    parts = _parts3(spark, d)
+    rows = [(s, round(float(X.extrapolated(3, parts, s)[7]), 1)) for s in X.STRATEGIES] + [("error bound", round(float(X.error_bound(3, parts)), 1))]
+    return spark.createDataFrame([(n, float(v)) for n, v in rows], "strategy string, m7 double")
+
+
+@query(_G + ", t AS (SELECT SUM(v) AS t FROM g) SELECT idx, ROUND((SUM(v) OVER (PARTITION BY a, b) * SUM(v) OVER (PARTITION BY c) + SUM(v) OVER (PARTITION BY a, c) * SUM(v) OVER (PARTITION BY b) + SUM(v) OVER (PARTITION BY b, c) * SUM(v) OVER (PARTITION BY a)) / (3 * t), 0) AS v FROM g, t")
+def solve_average(spark, d):
+    x = _exact3(spark, d)
+    return _frame(spark, X.average(3, X.marginals_of(x, [3, 5, 6]), *V.primary(x)), 0)
+
+
+_FITTED = ("vanilla", "tree_ordered", "effective", "loopy", "loopy_buckets", "online")
+
+
+@query(_G + ", f AS (SELECT idx, SUM(v) OVER (PARTITION BY a, b) * SUM(v) OVER (PARTITION BY b, c) / NULLIF(SUM(v) OVER (PARTITION BY b), 0) AS v FROM g) SELECT solver, idx, ROUND(COALESCE(v, 0), 0) AS v FROM f, (VALUES " + ", ".join(f"('{n}')" for n in _FITTED) + ") s(solver)")
+def solve_ipf(spark, d):
+    """Every kind of fitting to a chain of two marginals, whose fit is known: their product over what they share."""
+    x = _exact3(spark, d)
+    parts, online = X.marginals_of(x, [3, 6]), ipf.Online(3, *V.primary(x))
+    for p in parts:
+        online.add(*p)
+    found = [ipf.vanilla(3, parts), ipf.tree_ordered(3, parts), ipf.effective(3, parts), ipf.loopy(3, parts), ipf.loopy(3, parts, cliques_by="buckets"), online.x]
+    return _rows(spark, dict(zip(_FITTED, found, strict=True)))
+
+
+@query()
+def solve_ipf_loops(spark, d):
+    """Fitting to marginals with a loop, and with some left out: errors against the exact answer."""
+    x = _cells(spark, d)
+    parts = X.marginals_of(x, [3, 6, 12, 9])
+    runs = {"vanilla": ipf.vanilla, "effective": ipf.effective, "dropout_dimension": lambda q, p: ipf.dropout(q, p, "dimension"), "dropout_entropy": lambda q, p: ipf.dropout(q, p, "entropy"), "loopy": ipf.loopy}
+    return spark.createDataFrame([(n, V.l1_error(x, f(4, parts))) for n, f in runs.items()], "solver string, l1 double")
+
+
+@query(_G + ", e AS (SELECT idx, SUM(v) OVER (PARTITION BY a, b) AS x, SUM(v) OVER (PARTITION BY c) AS y, SUM(v) OVER () AS t FROM g) SELECT solver, idx, ROUND(GREATEST(0, x + y - t), 0) AS low, ROUND(LEAST(x, y), 0) AS high FROM e, (VALUES ('exact'), ('dual'), ('dense')) s(solver)")
+def solve_bounds(spark, d):
+    """Bounds of each cell by exact, dual and dense programs, from marginals that share no bit."""
+    x = _exact3(spark, d)
+    parts = [(m, [int(a) for a in v]) for m, v in X.marginals_of(x, [3, 4])]
+    b = linear.Bounds(3)
+    for mask, v in parts:
+        b.add(mask, v)
+    dual = linear.DualSimplex(b.rows, 8)
+    found = {"exact": [(c.low, c.high) for c in b.tighten()], "dual": [(dual.least(i), dual.most(i, int(x.sum()))) for i in range(8)], "dense": linear.dense_bounds(3, parts)}
+    rows = [(n, i, round(float(lo)) + 0.0, round(float(hi)) + 0.0) for n, v in found.items() for i, (lo, hi) in enumerate(v)]
+    return spark.createDataFrame(rows, "solver string, idx long, low double, high double")
+
+
+def _preset(spark, d, sets, path: str | None = None) -> Cube:
+    """A cube whose cuboids have the given sets of the three bits."""
+    c = cube(spark, d)
+    b = _bits3(c)
+    return c.materialize(M.preset(c.n_bits, [[b[i] for i in s] for s in sets]), path or scratch(spark, "cube"))
+
+
+_PAIRS = [(0, 1), (0, 2), (1, 2)]
+
+
+@query(_CELLS3 + "f AS (SELECT *, m3*m4/t + m5*m2/t + m6*m1/t - 2*m1*m2*m4/(t*t) AS m7 FROM m)" + _OUT3)
+def solve_batch(spark, d):
+    """An approximate answer from the catalog's cuboids, none of which covers the query."""
+    c = _preset(spark, d, _PAIRS)
+    return _frame(spark, c.solve(_bits3(c), primary=c.primary_moments()), 1)
+
+
+@query(_CELLS3 + "f AS (SELECT *, m3*m4/t + m5*m2/t + m6*m1/t - 2*m1*m2*m4/(t*t) AS m7 FROM m)" + _OUT3)
+def solve_from_store(spark, d):
+    """The same answer as from marginals, from stored moments."""
+    from cellarium.operators import moment_store as S
+
+    c = cube(spark, d)
+    return _frame(spark, S.solve(S.build(c, _bits3(c), 2), range(3), 2), 1)
+
+
+@query(_G + " SELECT idx, ROUND(v, 0) AS v FROM g")
+def online_moments(spark, d):
+    """A progressive answer's last step, which has the base cuboid, is exact."""
+    c = _preset(spark, d, _PAIRS)
+    *_, (_, x) = c.online(_bits3(c), primary=c.primary_moments())
+    return _frame(spark, x, 0)
+
+
+@query(_G + " SELECT idx, ROUND(v, 0) AS low, ROUND(v, 0) AS high FROM g")
+def online_bounds(spark, d):
+    """Progressive bounds end at the exact values."""
+    c = _preset(spark, d, _PAIRS)
+    *_, b = c.online_bounds(_bits3(c))
+    return spark.createDataFrame([(i, float(x.low), float(x.high)) for i, x in enumerate(b.cells)], "idx long, low double, high double")
+
+
+@query(CELLS + " SELECT idx, CAST(v AS DOUBLE) AS v FROM dense")
+def sampling_online(spark, d):
+    """Progressive samples end at the exact answer."""
+    c = cube(spark, d)
+    *_, (_, x) = sampling.online(c.base, list(c.columns), [c.bit_column(b) for b in query_bits(c)])
+    return _frame(spark, x)
+
+
+@query(_G + " SELECT CAST(a AS BIGINT) AS idx, CAST(SUM(v) AS BIGINT) AS measure FROM g WHERE b = 1 GROUP BY 1")
+def slice_from_cuboid(spark, d):
+    """A slice from the cheapest cuboid that has the sliced bits too."""
+    c = _preset(spark, d, _PAIRS)
+    b = _bits3(c)
+    return c.naive([b[0]], dense=True, fixed={b[1]: 1})
+
+
+@query(_G + " SELECT idx, CAST(v AS BIGINT) AS measure FROM g")
+def materialize_again(spark, d):
+    """A second build in the same place leaves answers as they are; the first one's files can go."""
+    path = scratch(spark, "cube")
+    _preset(spark, d, [(0, 1, 2), *_PAIRS], path)
+    c = _preset(spark, d, [(0, 1, 2), *_PAIRS], path)
+    Cube.vacuum(spark, path)
+    return Cube.load(spark, path).naive(_bits3(c), dense=True)
+
+
+@query(STAR + " SELECT CAST(linestatus AS BIGINT) AS idx, CAST(SUM(measure) AS DOUBLE) AS v FROM star WHERE returnflag = 2 GROUP BY 1")
+def session_progressive(spark, d):
+    """A progressive session under a filter: the last step is exact."""
+    from cellarium.sessions import QuerySession
+
+    s = QuerySession(_preset(spark, d, _PAIRS))
+    s.set_filter("returnflag", [2])
+    last = s.start({"linestatus": 1}, s.cube.primary_moments())
+    while (step := s.next()) is not None:
+        last = step
+    return _frame(spark, last[1], 0)
+
+
+@query("SELECT CAST((event_id + 5000000000) // 16384 AS BIGINT) AS code, COUNT(*) AS measure FROM events GROUP BY 1")
+def wide_codes(spark, d):
+    """Numbers beyond 32 bits as codes: sums by a prefix."""
+    from cellarium.operators.user import UserCube
+
+    c = UserCube.from_rows(table(spark, d, "events").select((F.col("event_id") + 5000000000).alias("n"))).cube
+    return c.query({"n": c.columns["n"] - 14}).select(F.col("n").alias("code"), "measure")
+
+
+@query(_EVENTS + f" SELECT event_type, {SUM} FROM e WHERE k < 30 AND u IN (3, 5) GROUP BY 1 HAVING SUM(measure) <> 0")
+def user_criteria_elsewhere(spark, d):
+    """Criteria on columns that are no axes."""
+    return _events(spark, d).query({"event_type": 3}, where={"k": ["<30"], "u": ["3", "5"]})
+
+
+# plans and strategies -------------------------------------------------------------------------------------------------
+def _choose(n: str, k: str) -> str:
+    f = "factorial(CAST({} AS INT))".format
+    return f"CAST({f(n)} / ({f(k)} * {f(f'{n} - {k}')}) AS BIGINT)"
+
+
+_WIDTHS = [3, 2, 4, 1]
+_PREFIXES = "SELECT a.range + b.range + c.range + e.range AS d, COUNT(*) AS n FROM range(4) a, range(3) b, range(5) c, range(2) e GROUP BY 1"
+_SETS = f"""SELECT 'randomized' AS strategy, CAST(range AS INT) AS bits, LEAST(CAST(POWER(2, 5 - range) AS BIGINT), {_choose('10', 'range')}) AS n FROM range(2, 6)
+ UNION ALL SELECT 'schema_based', CAST(d AS INT), LEAST(CAST(POWER(2, 5 - d) AS BIGINT), n) FROM ({_PREFIXES}) WHERE d BETWEEN 2 AND 5
+ UNION ALL SELECT 'single', 3, LEAST(16, {_choose('10', '3')}) UNION ALL SELECT 'budgeted', 3, LEAST(CAST(FLOOR(0.25 * POWER(2, 12) / POWER(2, 6) * CEIL(74 / 8)) AS BIGINT), {_choose('10', '3')})
+ UNION ALL SELECT 'subsets', CAST(range AS INT), {_choose('3', 'range')} FROM range(4)
+ UNION ALL SELECT 'all_or_nothing', CAST(w AS INT), COUNT(*) FROM (SELECT 3 * (range & 1) + 2 * ((range >> 1) & 1) + 4 * ((range >> 2) & 1) + ((range >> 3) & 1) AS w FROM range(1, 16)) WHERE w BETWEEN 3 AND 7 GROUP BY w
+ UNION ALL SELECT 'old', CAST(range AS INT), LEAST(CAST(FLOOR(0.1 * POWER(1.2, 10 - range)) AS BIGINT), {_choose('10', 'range')}) FROM range(10) WHERE FLOOR(0.1 * POWER(1.2, 10 - range)) >= 1"""
+
+
+@query(_SETS + " UNION ALL SELECT strategy, 10, 1 FROM (VALUES ('randomized'), ('schema_based'), ('single'), ('budgeted'), ('subsets'), ('all_or_nothing'), ('old'), ('base')) t(strategy)")
+def strategy_sets(spark, d):
+    """How many sets of each size the strategies choose."""
+    edges = [sum(_WIDTHS[:i]) for i in range(5)]
+    columns = [list(range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    runs = {"randomized": M.randomized(10, 4, 2, 5), "schema_based": M.schema_based(columns, 4, 2, 5), "old": M.old_randomized(10, 0.1, 1.2), "single": M.single_size(10, 4, 3), "budgeted": M.budgeted(10, 12, 3, 0.25), "all_or_nothing": M.all_or_nothing(columns, 7), "base": M.only_base(10), "subsets": M.all_subsets_of(10, [1, 5, 9])}
+    return spark.createDataFrame([(n, len(s)) for n, sets in runs.items() for s in sets], "strategy string, bits int").groupBy("strategy", "bits").agg(F.count("*").alias("n"))
+
+
+def _values(sets) -> str:
+    return "(VALUES " + ", ".join(f"({i}, {sum(1 << b for b in x)}::BIGINT, {len(x)})" for i, x in enumerate(sets)) + ") t(i, m, cost)"
+
+
+_PLAN_SETS, _PLAN_QUERY = M.randomized(12, 7, 2, 6, seed=1), [1, 4, 7, 10]
+_PLAN = f"""WITH p AS (SELECT m & {sum(1 << b for b in _PLAN_QUERY)} AS own, ARG_MIN(i, cost * 1000 + i) AS cuboid, MIN(cost) AS cost FROM {_values(_PLAN_SETS)} GROUP BY 1),
+ parts AS (SELECT CAST({' + '.join(f'((own >> {b}) & 1) * {1 << i}' for i, b in enumerate(_PLAN_QUERY))} AS INT) AS covered, CAST(cuboid AS INT) AS cuboid, CAST(cost AS INT) AS cost FROM p),
+ small AS (SELECT * FROM (SELECT m & {sum(1 << b for b in _PLAN_QUERY)} AS own, ARG_MIN(i, cost * 1000 + i) AS cuboid, MIN(cost) AS cost FROM {_values(_PLAN_SETS)} WHERE cost < 12 GROUP BY 1)),
+ batch AS (SELECT CAST({' + '.join(f'((own >> {b}) & 1) * {1 << i}' for i, b in enumerate(_PLAN_QUERY))} AS INT) AS covered, CAST(cuboid AS INT) AS cuboid, CAST(cost AS INT) AS cost FROM small)
+ SELECT 'naive' AS plan, CAST(0 AS INT) AS step, covered, cuboid, cost FROM parts WHERE covered = 15
+ UNION ALL SELECT 'batch', CAST(row_number() OVER (ORDER BY bit_count(covered) DESC, cost DESC, covered DESC) - 1 AS INT), covered, cuboid, cost FROM batch x WHERE NOT EXISTS (SELECT 1 FROM batch y WHERE y.covered <> x.covered AND y.covered & x.covered = x.covered)
+ UNION ALL SELECT 'online', CAST(row_number() OVER (ORDER BY bit_count(covered), cost, covered) - 1 AS INT), covered, cuboid, cost FROM parts x WHERE NOT EXISTS (SELECT 1 FROM parts y WHERE y.covered <> x.covered AND y.covered & x.covered = x.covered AND (y.cost <= x.cost OR y.cost <= 2))"""
+
+
+@query(_PLAN)
+def prepare_plans(spark, d):
+    """Which cuboids a query's plans name."""
+    ix = I.CuboidIndex(_PLAN_SETS, 12)
+    plans = {"naive": [ix.prepare_naive(_PLAN_QUERY)], "batch": ix.prepare_batch(_PLAN_QUERY), "online": ix.prepare_online(_PLAN_QUERY, 2)}
+    return spark.createDataFrame([(n, i, f.covered, f.cuboid, f.cost) for n, p in plans.items() for i, f in enumerate(p)], "plan string, step int, covered int, cuboid int, cost int")
+
+
+_BUILD_SETS = M.randomized(10, 6, 2, 5, seed=2)
+
+
+@query(f"""WITH s AS (SELECT * FROM {_values(_BUILD_SETS)}), n AS (SELECT MAX(i) AS last FROM s) SELECT CAST(x.i AS INT) AS cuboid, CAST(x.cost AS INT) AS n_bits,
+ CAST(COALESCE((SELECT ARG_MIN(y.i, y.cost * 1000 + y.i) FROM s y WHERE y.i <> x.i AND y.m & x.m = x.m AND (y.cost > x.cost OR y.i > x.i)), -1) AS INT) AS parent,
+ CAST(CASE WHEN x.i < last THEN last ELSE -1 END AS INT) AS base, CAST(COALESCE((SELECT MIN(y.i) FROM s y WHERE y.i > x.i AND y.m & x.m = x.m), -1) AS INT) AS first FROM s x, n""")
+def build_plan(spark, d):
+    return spark.createDataFrame([(i, len(s), p, b, f) for i, (s, p, b, f) in enumerate(zip(_BUILD_SETS, I.parents(_BUILD_SETS), I.parents_base(_BUILD_SETS), I.parents_first(_BUILD_SETS), strict=True))], "cuboid int, n_bits int, parent int, base int, first int")
+
+
+@query("SELECT CAST(range AS INT) AS query, CAST(2 + 2 * (range // 5) AS INT) AS n_bits, TRUE AS prefixes FROM range(15)")
+def workload_generate(spark, d):
+    """Queries of the sizes asked for, each of prefixes of columns."""
+    c = cube(spark, d)
+    prefixes = lambda q: all({b for b in q if b in own} == set(own[len(own) - len(set(q) & set(own)) :]) for own in map(c.column_bits, c.columns))
+    return spark.createDataFrame([(i, len(q), prefixes(q)) for i, q in enumerate(workload.generate(c, [2, 4, 6], 5, seed=3))], "query int, n_bits int, prefixes boolean")
+
+
+@query(STAR + """ SELECT CAST(n_bits AS INT) AS n_bits, COUNT(*) AS cuboids, CAST(SUM(cells) AS BIGINT) AS cells FROM (SELECT 2 AS n_bits, COUNT(DISTINCT returnflag) AS cells FROM star
+ UNION ALL SELECT 4, COUNT(DISTINCT discount) FROM star UNION ALL SELECT 6, COUNT(DISTINCT returnflag * 100 + discount) FROM star UNION ALL SELECT 6, COUNT(DISTINCT quantity) FROM star) GROUP BY 1""")
+def storage_statistics(spark, d):
+    """Rows of the materialized cuboids by number of dimensions."""
+    c = cube(spark, d)
+    bits = {n: c.column_bits(n) for n in c.columns}
+    c = c.materialize(M.preset(c.n_bits, [bits["returnflag"], bits["discount"], bits["returnflag"] + bits["discount"], bits["quantity"]]), scratch(spark, "cube"))
+    dims = spark.createDataFrame([(i, len(s)) for i, s in enumerate(c.sets)], "cuboid_id int, n_bits int")
+    rows = c.cuboids().groupBy("cuboid_id").agg(F.count("*").alias("n"))
+    return rows.join(dims, "cuboid_id").groupBy("n_bits").agg(F.count("*").alias("cuboids"), F.sum("n").alias("cells"))

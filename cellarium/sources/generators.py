@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,22 @@ def half_gaussian(n: int, seed: int = 0) -> Column:
     return F.least(F.floor(F.abs(F.randn(seed)) * n / 4), F.lit(n - 1)).cast("int")
 
 
+def random_walk(spark: SparkSession, n: int, rows: int, seed: int = 0) -> DataFrame:
+    """(Time, code): steps of -1, 0 or 1, the sum folded into 0..n-1 by reflection. Steps are summed in ranges of rows first."""
+    step = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(3)) - 1
+    part = 10_000
+    steps = spark.range(rows).select("id", step.alias("s"), F.floor(F.col("id") / part).alias("p"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = steps.groupBy("p").agg(F.sum("s").alias("t")).select("p", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("b"))
+    at = F.pmod(F.sum("s").over(Window.partitionBy("p").orderBy("id")) + F.col("b"), F.lit(2 * n))
+    return steps.join(starts, "p").withColumn("at", at).select(F.col("id").alias("Time"), F.when(F.col("at") < n, F.col("at")).otherwise(2 * n - 1 - F.col("at")).cast("int").alias("code"))
+
+
+def random_value(low: int, high: int, seed: int = 0) -> Callable[[Column], Column]:
+    """A whole number from low to high by the row's time."""
+    return lambda t: (F.pmod(F.xxhash64(t, F.lit(seed)), F.lit(high - low + 1)) + low).cast("long")
+
+
 def trend(time: Column, n: int, rows: int, seed: int = 0) -> Column:
     """Codes that rise with the row's time, give or take."""
     return F.least(F.greatest(F.floor(time * n / rows + F.randn(seed) * n / 20), F.lit(0)), F.lit(n - 1)).cast("int")
@@ -79,19 +95,39 @@ def summed(*fs: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return out
 
 
-def drifting_records(n: int, fields: Sequence[str], seed: int = 0, p: float = 1 / 15) -> list[dict]:
-    """Records whose schema drifts: before each one a field may be added, removed or renamed, each with probability p."""
+#: Values of generated fields by their type.
+TYPED: dict[str, Callable[[random.Random], object]] = {
+    "int": lambda r: r.randrange(100),
+    "double": lambda r: round(r.uniform(-1000, 1000), 3),
+    "bool": lambda r: r.random() < 0.5,
+    "text": lambda r: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))),
+    "date": lambda r: f"{r.randint(1990, 2025)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
+    "phone": lambda r: f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(0, 9999):04d}",
+    "url": lambda r: f"https://{''.join(r.choice('abcdefghij') for _ in range(6))}.example.org/{r.randrange(1000)}",
+    "list": lambda r: [r.randrange(10) for _ in range(r.randint(0, 3))],
+    "object": lambda r: {"a": r.randrange(10), "b": r.choice("xyz")},
+}
+
+
+def drifting_records(n: int, fields: Sequence[str], seed: int = 0, p: float = 1 / 15, types: dict[str, str] | None = None) -> list[dict]:
+    """Records whose schema drifts: before each one a field may be added, removed or renamed, each with probability p.
+
+    types: the kind of each field's values (``int`` without one); a new field's kind is drawn, a renamed one keeps its own."""
     r = random.Random(seed)
     live, fresh, out = list(fields), 0, []
+    kind = {f: (types or {}).get(f, "int") for f in fields}
     for i in range(n):
         if r.random() < p:
             live.append(f"new{fresh}")
+            kind[live[-1]] = r.choice(sorted(TYPED)) if types else "int"
             fresh += 1
         if len(live) > 1 and r.random() < p:
             live.pop(r.randrange(len(live)))
         if r.random() < p:
             k = r.randrange(len(live))
-            live[k] = f"{live[k].split('~')[0]}~{fresh}"
+            was = live[k]
+            live[k] = f"{was.split('~')[0]}~{fresh}"
+            kind[live[k]] = kind[was]
             fresh += 1
-        out.append({"row": i} | {f: r.randrange(100) for f in live})
+        out.append({"row": i} | {f: TYPED[kind[f]](r) for f in live})
     return out

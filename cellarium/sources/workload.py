@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.operators.cube import Cube
@@ -30,5 +30,14 @@ def true_results(cube: Cube, queries: Sequence[Sequence[int]]) -> DataFrame:
     return cube.base.select(tagged, "measure").groupBy("x.query", "x.idx").agg(F.sum("measure").cast("long").alias("measure"))
 
 
-def save(results: DataFrame, path: str) -> None:
-    results.write.mode("overwrite").parquet(path)
+def save(results: DataFrame, path: str, queries: Sequence[Sequence[int]] = ()) -> None:
+    """The true answers, and the queries they belong to."""
+    results.write.mode("overwrite").parquet(f"{path}/results")
+    rows = [(i, list(q)) for i, q in enumerate(queries)]
+    results.sparkSession.createDataFrame(rows, "query int, bits array<int>").write.mode("overwrite").parquet(f"{path}/queries")
+
+
+def load(spark: SparkSession, path: str) -> tuple[list[tuple[int, ...]], DataFrame]:
+    """(queries, their true answers)."""
+    rows = spark.read.parquet(f"{path}/queries").orderBy("query").collect()  # as many as the workload has
+    return [tuple(r["bits"]) for r in rows], spark.read.parquet(f"{path}/results")

@@ -8,19 +8,39 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellarium.ranking import RANK_ROWS, ranked
+
 
 def window_rows(df: DataFrame, dim: str, gap: int, value: str = "measure", by: Sequence[str] = ()) -> DataFrame:
-    """``window_sum``: the row and the gap - 1 rows after it, in the order of dim."""
+    """``window_sum``: the row and the gap - 1 rows after it, in the order of dim. Without ``by`` rows get their global
+    numbers first and are then dealt by ranges of these."""
+    if not by:
+        return _ahead(ranked(df, [dim], "_i"), "_i", gap - 1, value).drop("_i")
     w = Window.partitionBy(*by).orderBy(dim).rowsBetween(0, gap - 1)
     return df.withColumn("window_sum", F.sum(value).over(w))
 
 
 def window_values(df: DataFrame, dim: str, gap: int, value: str = "measure", by: Sequence[str] = ()) -> DataFrame:
     """``window_sum``: all rows whose dim is at most gap above the row's."""
+    if not by:
+        return _ahead(df, dim, gap, value)
     w = Window.partitionBy(*by).orderBy(dim).rangeBetween(0, gap)
     return df.withColumn("window_sum", F.sum(value).over(w))
 
 
+def _ahead(df: DataFrame, at: str, gap: int, value: str) -> DataFrame:
+    """Windows of values over ranges that are as wide as the gap at least: each range also gets the rows of the next one to
+    look at, so no task has more than two ranges."""
+    low, high, n = df.agg(F.min(at), F.max(at), F.count("*")).first()
+    if low is None:
+        return df.withColumn("window_sum", F.sum(value).over(Window.partitionBy(at)))  # NULLs are each other's peers
+    width = max(gap, 1, -(-(float(high) - float(low)) // max(1, n // RANK_ROWS)))
+    own = F.floor((F.col(at) - F.lit(low)) / F.lit(width))
+    rows = df.withColumn("_own", own).withColumn("_b", F.explode(F.when(own.isNull(), F.array(own)).otherwise(F.array(own, own - 1))))
+    w = Window.partitionBy("_b").orderBy(at).rangeBetween(0, gap)
+    return rows.withColumn("window_sum", F.sum(value).over(w)).where(F.col("_b").eqNullSafe(F.col("_own"))).drop("_own", "_b")
+
+
 def mean(df: DataFrame, by: Sequence[str], total: str, count: str) -> DataFrame:
     return df.groupBy(*by).agg((F.sum(total) / F.sum(count)).alias("mean"))
 
@@ -159,9 +179,28 @@ def rename_counts(df: DataFrame, a: Column, b: Column, measure: Column) -> DataF
 
 
 def null_changes(df: DataFrame, order: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(column, at, event): every row where a column begins or stops having values; one pass over the ordered rows."""
-    w = Window.partitionBy(*by).orderBy(order)
-    long = df.select(*by, order, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().alias("has")) for c in columns])).alias("x")).select(*by, order, "x.column", "x.has")
-    w = Window.partitionBy(*by, "column").orderBy(order)
-    seen = long.withColumn("was", F.lag("has").over(w))
-    return seen.where(F.col("has") != F.coalesce("was", F.lit(False))).select(*by, "column", F.col(order).alias("at"), F.when(F.col("has"), "add").otherwise("remove").alias("event"))
+    """(column, at, event): every row where a column begins or stops having values, in the order of the rows.
+
+    Without ``by`` rows are numbered first and looked at in parts; a part's first row is held against the last one before."""
+    def long(rows: DataFrame, *more: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().alias("has")) for c in columns])).alias("x")
+        return rows.select(*by, *more, F.col(order).alias("at"), each).select(*by, *more, "at", "x.column", "x.has")
+
+    if by:
+        seen = long(df).withColumn("was", F.lag("has").over(Window.partitionBy(*by, "column").orderBy("at")))
+    else:
+        rows = long(ranked(df, [order], "_i"), "_i").withColumn("_p", F.floor(F.col("_i") / RANK_ROWS))
+        last = rows.groupBy("column", "_p").agg(F.max_by("has", "_i").alias("_last"))
+        before = last.select("column", "_p", F.lag("_last").over(Window.partitionBy("column").orderBy("_p")).alias("_before"))  # a row for each part
+        seen = rows.withColumn("was", F.lag("has").over(Window.partitionBy("column", "_p").orderBy("_i"))).join(before, ["column", "_p"])
+        seen = seen.withColumn("was", F.coalesce("was", "_before"))
+    changed = seen.where(F.col("has") != F.coalesce("was", F.lit(False)))
+    return changed.select(*by, "column", "at", F.when(F.col("has"), "add").otherwise("remove").alias("event"))
+
+
+def rename_events(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(at, old, new): rows where exactly one column stops and exactly one begins, which looks like a new name."""
+    of = lambda event: F.collect_set(F.when(F.col("event") == event, F.col("column")))  # noqa: E731  as many as there are columns
+    found = changes.groupBy(*by, "at").agg(of("remove").alias("gone"), of("add").alias("new"))
+    one = found.where((F.size("gone") == 1) & (F.size("new") == 1))
+    return one.select(*by, "at", F.element_at("gone", 1).alias("old"), F.element_at("new", 1).alias("new"))

@@ -30,6 +30,8 @@ from cellarium.storage import delete
 BATCH = 64
 #: Most bits of a packed key.
 KEY_BITS = 62
+#: Most column bits of a pivot.
+PIVOT_BITS = 12
 #: Expected cells of a cuboid that one task writes.
 PART_CELLS = 2_000_000
 
@@ -221,6 +223,8 @@ class Cube:
         base = self.base if where is None else self.base.where(where)
         if not cols:
             return base.groupBy(*keys(rows)).agg(F.sum("measure").alias("measure"))
+        if sum(cols.values()) > PIVOT_BITS:
+            raise ValueError(f"a pivot has {PIVOT_BITS} column bits at most; ask for rows")
         parts = [F.lpad(F.bin(F.shiftright(F.col(c), self.columns[c] - k)), k, "0") for c, k in cols.items()]
         names = [f"{v:0{sum(cols.values())}b}" for v in range(1 << sum(cols.values()))]
         return base.select(*keys(rows), F.concat(*parts).alias("_p"), "measure").groupBy(*rows).pivot("_p", names).agg(F.sum("measure"))

@@ -15,6 +15,8 @@ from cellarium.operators.schema import CubeSchema
 from cellarium.plans import strategies
 from cellarium.sources import files
 
+#: Most rows that an answer in arrays brings to the driver.
+ARRAY_ROWS = 100_000
 FORMS = ("tuples", "bits", "matrix", "array")
 
 
@@ -114,8 +116,10 @@ class UserCube:
 
 
 def _arrays(pivot: DataFrame, rows: list[str]) -> tuple[list[tuple], list[str], np.ndarray]:
-    """Row labels, column labels and values of a pivot that a user looks at."""
-    found = pivot.collect()
+    """Row labels, column labels and values of a pivot that a user looks at: ARRAY_ROWS rows at most."""
+    found = pivot.limit(ARRAY_ROWS + 1).collect()
+    if len(found) > ARRAY_ROWS:
+        raise ValueError(f"an array has {ARRAY_ROWS} rows at most; ask for a matrix")
     top = [c for c in pivot.columns if c not in rows]
     return [tuple(r[c] for c in rows) for r in found], top, np.array([[r[c] or 0 for c in top] for r in found])
 

@@ -438,3 +438,17 @@ def drift_events(spark, d):
     i = F.col("event_id")
     rows = table(spark, d, "events").select("event_id", F.when(i < 300, 1).alias("a"), F.when((i >= 200) & ~i.between(400, 449), 1).alias("b"))
     return A.null_changes(rows, "event_id", ["a", "b"])
+
+
+@query("SELECT CAST(500 AS BIGINT) AS at, 'a' AS old, 'b' AS new FROM (SELECT MAX(event_id) AS last FROM events) WHERE last >= 500")
+def drift_renames(spark, d):
+    i = F.col("event_id")
+    rows = table(spark, d, "events").select("event_id", F.when(i < 500, 1).alias("a"), F.when(i >= 500, 1).alias("b"), F.when(i >= 700, 1).alias("c"))
+    return A.rename_events(A.null_changes(rows, "event_id", ["a", "b", "c"]))
+
+
+@query(STAR + ", s AS (SELECT quantity, CAST(SUM(measure) AS BIGINT) AS measure FROM star WHERE quantity % 3 <> 1 GROUP BY 1) SELECT quantity, CAST(SUM(measure) OVER (ORDER BY quantity RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS BIGINT) AS window_sum FROM s")
+def window_values_whole(spark, d):
+    """Without a partition: ranges of the dimension."""
+    rows = C.project(star(spark, d, ["quantity"]).where("quantity % 3 <> 1"), ["quantity"])
+    return A.window_values(rows, "quantity", 4).select("quantity", "window_sum")

@@ -33,8 +33,8 @@ from .common import CACHE_WORDS, arrow_pass, ascii_words, held_by_process, mixed
 LEAST = 5
 #: Share of an item's words that tiles have to cover.
 COVERAGE = 0.6
-#: Bits of the seeds' bitmap: so many for a seed, as a power of two, and at most 1 << MOST_BITS (16 MB).
-SEED_BITS, MOST_BITS = 16, 27
+#: Bits of the seeds' bitmap: so many for a seed, as a power of two, and at most 1 << MOST_BITS (16 MB); places that a seed sets.
+SEED_BITS, MOST_BITS, PLACES = 64, 27, 4
 #: Contaminated texts whose digests are broadcast when documents are dropped (about 40 bytes each); beyond, a shuffle join.
 DROPPED = 1_000_000
 
@@ -238,23 +238,36 @@ def _seeds(items: DataFrame, least: int, coverage: float) -> DataFrame:
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """One bit for each value that a seed's low bits can have; its words come combined from the executors."""
+    """A Bloom filter of the seeds: PLACES bits for each, from its hash turned by 16 bits a time; its words come combined
+    from the executors."""
     n = seeds.count()
     bits = min(MOST_BITS, max(10, (SEED_BITS * n - 1).bit_length()))
-    low = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = seeds.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()
+    h = F.col("h")
+    turned = [h if not k else F.shiftrightunsigned(h, 16 * k).bitwiseOR(F.shiftleft(h, 64 - 16 * k)) for k in range(PLACES)]
+    rows = seeds.select(F.explode(F.array(*[t.bitwiseAND(F.lit((1 << bits) - 1)) for t in turned])).alias("b"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))
+    rows = rows.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(bit).alias("x")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("x").to_numpy().view(np.uint64)
     return out
 
 
+def _maybe(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The hashes whose bits are all set."""
+    mask = np.uint64(64 * len(bitmap) - 1)
+    for k in range(PLACES):
+        at = (h if not k else (h >> np.uint64(16 * k)) | (h << np.uint64(64 - 16 * k))) & mask
+        h = h[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0]
+        if not len(h):
+            break
+    return h
+
+
 _HITS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.int64()))])
 
 
 def _hits(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
     """The documents that have runs of words whose bit is set, and these runs' hashes, each once."""
-    mask = np.uint64(64 * len(bitmap) - 1)
-
     def run(batches):
         words = held_by_process("cleaned words", _Cleaned)
         for b in batches:
@@ -263,9 +276,7 @@ def _hits(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
                 x = _hashes(words, text)
                 found = []
                 for size in sizes:
-                    h = seeds_of(x, size)
-                    at = h & mask
-                    h = h[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0]
+                    h = _maybe(bitmap, seeds_of(x, size))
                     if len(h):
                         found.append(h)
                 if found:

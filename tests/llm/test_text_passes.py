@@ -229,6 +229,13 @@ def test_contaminated_against_brute_force(spark, make_docs):
     assert sorted(x["doc_id"] for x in kept.collect()) == [i for i in range(len(texts)) if i not in bad]
 
 
+def test_bloom_filter_lets_seeds_through(spark):
+    h = np.random.default_rng(1).integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
+    bits = D._bitmap(spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "h long"))
+    assert len(D._maybe(bits, h)) == len(h)
+    assert len(D._maybe(bits, np.random.default_rng(2).integers(0, 1 << 63, 100_000).astype(np.uint64))) < 50
+
+
 def test_equal_hashes_of_different_words(monkeypatch):
     """With hashes that say nothing the words still decide."""
     monkeypatch.setattr(D.Running, "windows", lambda self, size: np.zeros(max(0, len(self.sums) - size), np.uint64))

@@ -169,6 +169,17 @@ def entropy(df: DataFrame, value: str = "measure", by: Sequence[str] = ()) -> Da
     return df.groupBy(*by).agg((F.ln(t) - F.sum(pos * F.ln(pos)) / t).alias("entropy"), ((F.ln(t) - F.sum(pos * F.ln(pos)) / t) / F.ln(F.lit(2.0))).alias("entropy2"))
 
 
+def normalized_entropy(df: DataFrame, cells: int, value: str = "measure", by: Sequence[str] = ()) -> DataFrame:
+    """Entropy over that of ``cells`` equal cells: 1 if all are equal, absent ones counting as empty."""
+    return entropy(df, value, by).select(*by, (F.col("entropy") / F.ln(F.lit(float(cells)))).alias("entropy"))
+
+
+def floor_to(c: Column, digits: int) -> Column:
+    """A number cut down to so many digits after the point."""
+    scale = float(10**digits)
+    return F.floor(c * scale) / scale
+
+
 def rename_counts(df: DataFrame, a: Column, b: Column, measure: Column) -> DataFrame:
     """Not-null patterns of two columns: neither, only_b, only_a, both; ``renamed`` if a row has exactly one of them."""
     def s(c):

@@ -254,6 +254,15 @@ class Cube:
         r = self.base.agg(*aggs).first()
         return r["t"] or 0, [r[f"b{b}"] or 0 for b in range(self.n_bits)]
 
+    def save_primary_moments(self, path: str) -> None:
+        total, ones = self.primary_moments()
+        self.base.sparkSession.createDataFrame([(total, ones)], "total long, ones array<long>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load_primary_moments(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+        r = spark.read.parquet(path).first()
+        return r["total"], list(r["ones"])
+
     def solve(self, query: Sequence[int], solver: Callable[[int, list], np.ndarray] | None = None, primary: tuple | None = None) -> np.ndarray:
         """The 2**q cells from the projections that don't cover the query, by central moments or the given solver."""
         query = sorted(query)

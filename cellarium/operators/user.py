@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.operators.analytics import criteria, query_dimension
+from cellarium.operators.analytics import criteria, query_dimension, trend_breaks
 from cellarium.operators.cube import Cube
 from cellarium.operators.cuboid import base_cuboid
 from cellarium.operators.schema import CubeSchema
@@ -115,6 +115,15 @@ class UserCube:
         return query_dimension(df, f"{x}_label", F.col(f"`{y}`"), group=group)
 
 
+    def trends(self, series: str, dim: str, where: dict[str, Sequence[str]] | None = None) -> DataFrame:
+        """For each value of ``series``: how often the sums along ``dim`` turn, whether they rise or fall all the way, whether
+        they peak twice."""
+        spec = {series: self.cube.columns[series], dim: self.cube.columns[dim]}
+        rows = self._filtered(spec, where, False) if where else self.cube.query(spec)
+        rows = self.schema.labelled(rows, series)
+        return trend_breaks(rows.select(F.col(f"`{series}_label`").alias("series"), F.col(f"`{dim}`").alias("at"), "measure"), ["series"], "at")
+
+
 def _arrays(pivot: DataFrame, rows: list[str]) -> tuple[list[tuple], list[str], np.ndarray]:
     """Row labels, column labels and values of a pivot that a user looks at: ARRAY_ROWS rows at most."""
     found = pivot.limit(ARRAY_ROWS + 1).collect()

@@ -452,3 +452,37 @@ def window_values_whole(spark, d):
     """Without a partition: ranges of the dimension."""
     rows = C.project(star(spark, d, ["quantity"]).where("quantity % 3 <> 1"), ["quantity"])
     return A.window_values(rows, "quantity", 4).select("quantity", "window_sum")
+
+
+@query(STAR + ", s AS (SELECT custregion, shipyear, CAST(SUM(measure) AS DOUBLE) v FROM star GROUP BY 1, 2) SELECT custregion, ROUND(-SUM(v / t * LN(v / t)) / LN(8), 6) AS entropy FROM (SELECT *, SUM(v) OVER (PARTITION BY custregion) t FROM s) GROUP BY 1")
+def normalized_entropy(spark, d):
+    rows = C.project(star(spark, d, ["custregion", "shipyear"]), ["custregion", "shipyear"])
+    return A.normalized_entropy(rows, 8, by=["custregion"]).select("custregion", F.round("entropy", 6).alias("entropy"))
+
+
+@query("SELECT event_id, FLOOR(value * 100.0) / 100.0 AS cut FROM events")
+def floor_digits(spark, d):
+    return table(spark, d, "events").select("event_id", A.floor_to(F.col("value"), 2).alias("cut"))
+
+
+@query("SELECT 'Q' || quarter(o_orderdate)::VARCHAR AS \"Quarter\", 'C' || (o_custkey % 4)::VARCHAR AS \"City\", CAST(SUM(CAST(FLOOR(o_totalprice) AS BIGINT)) AS BIGINT) AS measure FROM orders GROUP BY 1, 2")
+def dataset_sales(spark, d):
+    """A declared schema of two texts and a measure."""
+    o = table(spark, d, "orders")
+    raw = o.select(F.concat(F.lit("Q"), F.quarter("o_orderdate")).alias("Quarter"), F.concat(F.lit("C"), F.col("o_custkey") % 4).alias("City"), F.floor("o_totalprice").cast("string").alias("Sale"))
+    return datasets.SALES.cube(raw).query({"Quarter": 2, "City": 2})
+
+
+@query("""SELECT 'N' || n_name AS customer_state, year(o_orderdate) AS year, COUNT(*) AS items, CAST(SUM(CAST(FLOOR(CAST(CAST(l_quantity AS INT) AS DOUBLE) * 100) AS BIGINT)) AS BIGINT) AS measure
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+def dataset_marketplace(spark, d):
+    """Order items with their order, customer, product and seller, by four lookups."""
+    t = lambda n: table(spark, d, n)
+    items = t("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("order_item_id"), F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"), F.col("l_quantity").cast("int").cast("string").alias("price"))
+    orders = t("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("order_purchase_timestamp"))
+    places = lambda key, rows: rows.withColumns({f"{key}_zip_code_prefix": F.lit("0"), f"{key}_city": F.lit("c")})
+    customers = places("customer", t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("customer_id"), F.concat(F.lit("N"), "n_name").alias("customer_state")))
+    products = t("part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name"))
+    sellers = places("seller", t("supplier").select(F.col("s_suppkey").alias("seller_id"), F.col("s_nationkey").cast("string").alias("seller_state")))
+    rows = datasets.MARKETPLACE.rows(datasets.marketplace(items, orders, customers, products, sellers))
+    return rows.groupBy("customer_state", (F.col("`order_purchase_timestamp.year`") + 2016).alias("year")).agg(F.count("*").alias("items"), F.sum("_measure").alias("measure")).select("customer_state", F.col("year").cast("long").alias("year"), "items", "measure")

@@ -494,11 +494,12 @@ def prepare_plans(spark, d):
 _BUILD_SETS = M.randomized(10, 6, 2, 5, seed=2)
 
 
-@query(f"""WITH s AS (SELECT * FROM {_values(_BUILD_SETS)}), n AS (SELECT MAX(i) AS last FROM s) SELECT CAST(x.i AS INT) AS cuboid, CAST(x.cost AS INT) AS n_bits,
+@query(f"""WITH s AS (SELECT * FROM {_values(_BUILD_SETS)}), n AS (SELECT MAX(i) AS last FROM s) SELECT *, parent AS trie FROM (SELECT CAST(x.i AS INT) AS cuboid, CAST(x.cost AS INT) AS n_bits,
  CAST(COALESCE((SELECT ARG_MIN(y.i, y.cost * 1000 + y.i) FROM s y WHERE y.i <> x.i AND y.m & x.m = x.m AND (y.cost > x.cost OR y.i > x.i)), -1) AS INT) AS parent,
- CAST(CASE WHEN x.i < last THEN last ELSE -1 END AS INT) AS base, CAST(COALESCE((SELECT MIN(y.i) FROM s y WHERE y.i > x.i AND y.m & x.m = x.m), -1) AS INT) AS first FROM s x, n""")
+ CAST(CASE WHEN x.i < last THEN last ELSE -1 END AS INT) AS base, CAST(COALESCE((SELECT MIN(y.i) FROM s y WHERE y.i > x.i AND y.m & x.m = x.m), -1) AS INT) AS first FROM s x, n)""")
 def build_plan(spark, d):
-    return spark.createDataFrame([(i, len(s), p, b, f) for i, (s, p, b, f) in enumerate(zip(_BUILD_SETS, I.parents(_BUILD_SETS), I.parents_base(_BUILD_SETS), I.parents_first(_BUILD_SETS), strict=True))], "cuboid int, n_bits int, parent int, base int, first int")
+    plans = zip(_BUILD_SETS, I.parents(_BUILD_SETS), I.parents_base(_BUILD_SETS), I.parents_first(_BUILD_SETS), I.parents_trie(_BUILD_SETS), strict=True)
+    return spark.createDataFrame([(i, len(s), p, b, f, t) for i, (s, p, b, f, t) in enumerate(plans)], "cuboid int, n_bits int, parent int, base int, first int, trie int")
 
 
 @query("SELECT CAST(range AS INT) AS query, CAST(2 + 2 * (range // 5) AS INT) AS n_bits, TRUE AS prefixes FROM range(15)")
@@ -519,3 +520,13 @@ def storage_statistics(spark, d):
     dims = spark.createDataFrame([(i, len(s)) for i, s in enumerate(c.sets)], "cuboid_id int, n_bits int")
     rows = c.cuboids().groupBy("cuboid_id").agg(F.count("*").alias("n"))
     return rows.join(dims, "cuboid_id").groupBy("n_bits").agg(F.count("*").alias("cuboids"), F.sum("n").alias("cells"))
+
+
+@query(STAR + " SELECT CAST(SUM(measure) AS BIGINT) AS total, CAST(SUM(measure * linestatus) AS BIGINT) AS linestatus FROM star")
+def primary_moments_saved(spark, d):
+    """Primary moments from where they were saved."""
+    c = cube(spark, d)
+    path = scratch(spark, "moments")
+    c.save_primary_moments(path)
+    total, ones = Cube.load_primary_moments(spark, path)
+    return spark.createDataFrame([(total, ones[c.at["linestatus", 0]])], "total long, linestatus long")

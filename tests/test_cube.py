@@ -142,3 +142,56 @@ def test_online_sampling(cube):
     assert all(a[0] <= b[0] for a, b in zip(steps, steps[1:], strict=False))
     x, scale = sampling.naive(cube.base, list(cube.columns), [cube.bit_column(b) for b in q], 1.1)
     assert scale == 1 and np.array_equal(x, truth(cube, q))
+
+
+def test_second_build_and_vacuum(spark, tmp_path):
+    """A build that is run again, or broke off before its catalog row, changes no answer."""
+    rows = spark.createDataFrame([(i % 4, i % 8, i) for i in range(64)], "a int, b int, measure long")
+    c, path = Cube({"a": 2, "b": 3}, rows), str(tmp_path / "cube")
+    want = None
+    for _ in range(2):
+        built = c.materialize([(0, 1), (2, 3), tuple(range(5))], path)
+        got = sorted(map(tuple, built.naive([0, 1]).collect()))
+        assert want in (None, got)
+        want = got
+    (tmp_path / "cube" / "build-broken" / "cuboids").mkdir(parents=True)
+    again = Cube.load(spark, path)
+    assert sorted(map(tuple, again.naive([0, 1]).collect())) == want and sum(v for _, v in want) == sum(range(64))
+    assert Cube.vacuum(spark, path) == 1
+    assert sorted(map(tuple, Cube.load(spark, path).naive([0, 1]).collect())) == want
+    other = again.partial([(0,), tuple(range(5))], str(tmp_path / "other"))
+    assert other.base_path == again.base_path and sorted(v for _, v in other.naive([0]).collect()) == sorted([sum(i for i in range(64) if i % 2 == k) for k in (0, 1)])
+
+
+def test_slices_from_cuboids_and_base(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 4, i % 8, i) for i in range(64)], "a int, b int, measure long")
+    c = Cube({"a": 2, "b": 3}, rows).materialize([(0, 1, 2), tuple(range(5))], str(tmp_path / "cube"))
+    for query, fixed in (([0], {1: 1}), ([0, 2], {1: 0}), ([0], {4: 1}), ([3], {0: 1, 4: 0})):
+        bit = lambda i, b: (i % 4 >> b & 1) if b < 2 else (i % 8 >> (b - 2) & 1)
+        want = {}
+        for i in range(64):
+            if all(bit(i, b) == v for b, v in fixed.items()):
+                k = sum(bit(i, b) << j for j, b in enumerate(query))
+                want[k] = want.get(k, 0) + i
+        assert dict(map(tuple, c.naive(query, fixed=fixed).collect())) == want
+
+
+def test_filters_in_progressive_sessions(spark, tmp_path):
+    from cellarium.sessions import QuerySession
+
+    rows = spark.createDataFrame([(i % 4, i % 8, i) for i in range(64)], "a int, b int, measure long")
+    s = QuerySession(Cube({"a": 2, "b": 3}, rows).materialize([(0, 1), (2,), tuple(range(5))], str(tmp_path / "cube")))
+    s.set_filter("b", [1, 6])
+    last = s.start({"a": 2}, s.cube.primary_moments())
+    while (step := s.next()) is not None:
+        last = step
+    assert [round(v) for v in last[1]] == [sum(i for i in range(64) if i % 4 == a and i % 8 in (1, 6)) for a in range(4)]
+    assert s.cuboids(0, 2) == [(0, (2,)), (1, (0, 1))] or len(s.cuboids(0, 2)) == 2
+
+
+def test_rename_search(spark):
+    from cellarium.sessions import ExploreSession
+
+    rows = spark.range(1000).selectExpr("id as Time", "if(id < 617, 1, null) as a", "if(id >= 617, 1, null) as b")
+    steps = list(ExploreSession(rows).rename_search("a", "b", parts=4))
+    assert steps[0] == (0, 999) and steps[-1] == (616, 617) and all(lo <= 616 and hi >= 617 for lo, hi in steps)

@@ -74,3 +74,32 @@ def test_sizes():
     assert S.worst_case_bytes([[0, 1], range(10)], 100, 10) == 32 + 1000
     assert S.fd_size([1, 1], [0, 0], 100, [0, 1]) == 2 and S.fd_size([3, 1, 2], [0, 0, 1], 100, [0, 1, 2]) == 32
     assert S.score("power", 0b110, 0b011) == 2 and S.score("uncovered", 0b110, 0b011) == -1
+
+
+def test_trie_plans_are_the_scans():
+    for seed in range(5):
+        sets = S.randomized(9, 5, 1, 6, seed=seed)
+        assert I.parents_trie(sets) == I.parents(sets)
+
+
+def test_moments_gained():
+    assert S.moments_gained(0b111, 0b111, []) == 8 and S.moments_gained(0b111, 0b111, [0b011]) == 4
+    assert S.moments_gained(0b111, 0b111, [0b011, 0b110]) == 2 and S.moments_gained(0b011, 0b111, [0b111]) == 0
+    assert S.score("contained", 0b011, 0b111) == 4 and S.score("contained", 0b1011, 0b111) == 0
+
+
+def test_all_prefix_sets_when_few_are_drawn():
+    columns = [[0, 1, 2, 3, 4, 5], [6]]
+    assert S._prefix_sets(random.Random(0), columns, 6, 9) == {(0, 1, 2, 3, 4, 5), (1, 2, 3, 4, 5, 6)}
+
+
+def test_profiler(spark):
+    from cellarium.profiling import Profiler
+
+    p = Profiler()
+    for _ in range(2):
+        with p.span("outer"), p.span("inner"):
+            pass
+    assert [(r["name"], r["runs"]) for r in p.table(spark).orderBy("name").collect()] == [("inner", 2), ("outer", 2)]
+    p.reset()
+    assert p.table(spark).count() == 0

@@ -98,3 +98,36 @@ def test_infer_without_measure(spark):
     u = UserCube.from_rows(spark.createDataFrame([("x", 1), ("x", 2)], "a string, n int"))
     assert u.query({"a": 1}).first()["measure"] == 2
     assert CubeSchema.infer(spark.createDataFrame([], "a string, n int")).columns == {"a": 1, "n": 1}
+
+
+def test_criteria_on_any_column(user):
+    """Rows are filtered by columns that the answer doesn't have; with any_of one criterion is enough."""
+    got = {r["Region"]: r["measure"] for r in user.query({"Region": 2}, where={"spicy": ["1"], "Region": ["India"]}).collect()}
+    assert got == {"India": 9}
+    got = {r["Region"]: r["measure"] for r in user.query({"Region": 2}, where={"name": ["a", "c"]}).collect()}
+    assert got == {"India": 4, "Italy": 8}
+    got = {r["Region"]: r["measure"] for r in user.query({"Region": 2}, where={"name": ["a"], "Region": ["Italy"]}, any_of=True).collect()}
+    assert got == {"India": 4, "Italy": 15}
+    with pytest.raises(ValueError):
+        user.query({"Region": 2}, where={"name": ["a"]}, method="moment")
+
+
+def test_signs_and_trends(spark):
+    cube = UserCube.from_rows(spark.createDataFrame([("x", t, v) for t, v in enumerate([1, 5, 2, 9, 3, 8])] + [("y", t, t + 1) for t in range(6)], "s string, t int, v long"), "v")
+    got = {r["series"]: (r["breaks"], r["monotone"], r["double_peak"]) for r in cube.trends("s", "t").collect()}
+    assert got == {"x": (4, False, True), "y": (0, True, False)}
+    assert {r["series"]: r["breaks"] for r in cube.trends("s", "t", where={"t": ["<3"]}).collect()} == {"x": 1, "y": 0}
+    signed = UserCube.from_rows(spark.createDataFrame([(-3, 1), (2, 1)], "n int, v long"), "v")
+    assert sorted(r["n"] for r in signed.query({"n": 2, "-n": 1}).collect()) == ["-3", "2"]
+
+
+def test_bounded_answers(user, monkeypatch):
+    from cellarium.operators import cube as C
+    from cellarium.operators import user as U
+
+    monkeypatch.setattr(U, "ARRAY_ROWS", 1)
+    with pytest.raises(ValueError):
+        user.query({"Region": 2}, {"spicy?": 1}, form="array")
+    monkeypatch.setattr(C, "PIVOT_BITS", 1)
+    with pytest.raises(ValueError):
+        user.cube.query({"Region": 2}, {"name": 3})

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.storage import scratch
+from cellarium.storage import delete, scratch
 
 #: Words one task keeps hashed; the cache starts anew beyond.
 CACHE_WORDS = 300_000
@@ -33,14 +33,22 @@ def written(df: DataFrame, rows: int | None = None, compression: str = "snappy")
     """The rows of ``df`` from a Parquet table in the shared folder: lineage ends there and no executor holds the only copy.
 
     ``rows``: about how many rows of a few bytes come out of a shuffle; their files follow from it, two for each core at
-    least. Else every partition writes its own. The table goes when the driver's Python ends.
+    least. Else every partition writes its own. The table goes with ``forget``, or when the driver's Python ends.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = scratch(spark, "table")
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what came from them is written itself."""
+    for t in tables:
+        delete(t.sparkSession, t._written_at)
 
 
 _shipped: set[str] = set()

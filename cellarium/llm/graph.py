@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_join, written
+from .common import forget, skew_join, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
     was = _digest(e)
     while was[0]:
-        e = written(_small_star(_large_star(e)), 2 * was[0])
+        old, e = e, written(_small_star(_large_star(e)), 2 * was[0])
+        forget(old)
         now = _digest(e)
         if now == was:
             break

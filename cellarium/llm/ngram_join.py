@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, ascii_words, batch_of, shingles, skew_join, table, word_hash, written
+from .common import arrow_pass, ascii_words, batch_of, forget, shingles, skew_join, table, word_hash, written
 from .graph import components
 
 SHINGLE_WORDS = 5
@@ -447,11 +447,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_rows, most = total["n"], total["p"]
     sets = skew_join(sets, classes.where("m > 1").drop("m"), ["h1", "h2", "n"], ["id"], "left")
     sets = written(sets.select("id", "n", F.when(worded, F.coalesce("rep", "id")).alias("rep"), "bits"), n_rows)
+    forget(facts)
     nodes = sets.where("id = rep").select("id", "n", "bits").distinct()
 
     shared = written(_shared(_prefixes(docs, size, num, den, keys, ranks)), most)
     tiles = shared.join(sets.where("rep is not null").select("id", "rep").distinct(), "id").select("key", F.col("rep").alias("id"), "n").distinct()
     tiles = written(tiles, shared.count())
+    forget(shared)
     most = tiles.count()
     # shingles that have the same documents are one: the digest of a shingle's documents doesn't depend on their order
     centre = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(CENTRES))).alias("h"), "id", "n"))
@@ -459,27 +461,36 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingle = tiles.groupBy("key").agg(F.count("*").alias("m"), centre.alias("c"), *ids).where("m > 1")
     shingle = shingle.groupBy("m", "x11", "x12").agg(F.min(F.struct("key", "c")).alias("k"))
     shingle = written(shingle.select("k.key", F.col("k.c.id").alias("cid"), F.col("k.c.n").alias("cn")), most // 2)
-    tiles = written(skew_join(tiles, shingle, ["key"], ["id"]), most)
+    named = written(skew_join(tiles, shingle, ["key"], ["id"]), most)
+    forget(tiles, shingle)
+    tiles = named
     texts = docs.where("id is not null").join(tiles.select("id").distinct(), "id", "left_semi")
     texts = written(texts)
 
     near = (F.least("n", "cn") * den >= F.greatest("n", "cn") * num) & (F.col("id") != F.col("cid"))
     pairs = written(tiles.where(near).select(F.col("id").alias("u"), F.col("cid").alias("v")).distinct(), most)
-    pairs = written(_possible(pairs, nodes, num, den), most)
-    roots = components(_verified(pairs, texts, size, num, den), n_rows)
+    possible_ = written(_possible(pairs, nodes, num, den), most)
+    roots = components(_verified(possible_, texts, size, num, den), n_rows)
+    forget(pairs, possible_)
 
     left = tiles.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("comp"))
-    left = written(left, most)
+    every = left = written(left, most)
+    forget(tiles)
     open_ = left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
     left = written(left.join(open_, "key", "left_semi").withColumn("band", _band(F.col("n"), num, den)), most)
+    forget(every)
     named = F.when(F.count("*") <= TILE_KEYS, F.sort_array(F.collect_list("key"))).alias("keys")
     facts_of = left.groupBy("id").agg(named).join(nodes.select("id", "bits"), "id")
     rows = _tiled(left, "key", F.ceil(F.count("*") / TILE_ROWS).cast("int"), 0)
     rows = rows.join(facts_of, "id").select("key", "tile.bi", "tile.bj", "n", "id", "comp", "block", "bits", "keys")
     rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n")
-    more = _verified(written(_tiles(rows, num, den).distinct(), most), texts, size, num, den)
+    pairs = written(_tiles(rows, num, den).distinct(), most)
+    forget(left)
+    more = _verified(pairs, texts, size, num, den)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more), n_rows)
+    forget(pairs)
     links = written(_links(roots, nodes, texts, size, num, den, n_rows), n_rows)
+    forget(texts)
     roots = roots.join(links.withColumnRenamed("id", "node"), "node", "full_outer")
 
     out = sets.join(roots, F.col("rep") == F.col("node"), "left")

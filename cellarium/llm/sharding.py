@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cellarium.ranking import ranked
 
-from .common import skew_join, table, written
+from .common import forget, skew_join, table, written
 
 SHARDS = 8
 #: Rounds at most; propagation ends before when no bucket can move.
@@ -120,7 +120,8 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         chosen = _chosen_buckets(wishes, room, shards)
         if not chosen:
             break
-        linked = written(_moved(rows, chosen).drop("best"), n)
+        old, linked = linked, written(_moved(rows, chosen).drop("best"), n)
+        forget(old)
 
     keys = ["g1", "g2", "size"]
     apart = linked.groupBy(*keys).agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a < b").select(*keys)

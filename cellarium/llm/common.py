@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -25,19 +26,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of one file of a table of short rows.
-FILE_ROWS = 400_000
+#: Rows of one file of a table of short rows; bytes of one file of texts.
+FILE_ROWS, FILE_BYTES = 400_000, 8_000_000
 
 
-def written(df: DataFrame, rows: int | None = None, compression: str = "snappy") -> DataFrame:
+def in_files(df: DataFrame, files: int) -> DataFrame:
+    """``df`` in ``files`` partitions at most, or two for each core. Every file that a task makes costs its executor a process
+    or two where Hadoop has no native library, whatever the file holds."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, files))
+
+
+def release() -> None:
+    """Gives the system back what Arrow and the C library keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def written(df: DataFrame, rows: int | None = None, compression: str = "snappy", text_bytes: int | None = None) -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder: lineage ends there and no executor holds the only copy.
 
     ``rows``: about how many rows of a few bytes come out of a shuffle; their files follow from it, two for each core at
-    least. Else every partition writes its own. The table goes with ``forget``, or when the driver's Python ends.
+    least. ``text_bytes``: the same for rows with texts. Else every partition writes its own. The table goes with ``forget``, or
+    when the driver's Python ends.
     """
     spark = df.sparkSession
+    release()  # what the driver's own fits and lists have left
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+        df = in_files(df, -(-rows // FILE_ROWS))
+    elif text_bytes is not None:
+        df = in_files(df, -(-text_bytes // FILE_BYTES))
     path = scratch(spark, "table")
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -69,10 +87,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_pass(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded in bytes."""
+    """``mapInArrow`` with batches bounded in bytes. Workers live on beside the JVM, so a pass that has ended releases its memory."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def id_hash(c: str | Column, seed: int = 0) -> Column:

@@ -44,6 +44,10 @@ TILE_ROWS = 512
 TILE_KEYS = 64
 #: Shingles and classes of one component in a block of the count of links.
 LINK_SHINGLES, LINK_ROWS = 1_000_000, 2048
+#: Cells that the count of a tile's links works on at once, beside one matrix of all its pairs.
+LINK_CELLS = 500_000
+#: About the bytes of a word and its space; decides the number of files only.
+WORD_BYTES = 8
 #: Different centres that the shingles of a document can have.
 CENTRES = 4
 
@@ -325,11 +329,13 @@ def links_of(ids: list[int], blocks: list[int], sets: list[np.ndarray], num: int
     place[at] = np.arange(len(at))
     order = np.argsort(column, kind="stable")
     edges = np.concatenate([[0], np.cumsum(counts)])
-    for lo in range(0, len(at), 4096):
-        here = (place[column] >= lo) & (place[column] < lo + 4096)
-        x = np.zeros((n, min(4096, len(at) - lo)), np.float32)
+    strip, wide = max(1, LINK_CELLS // n), max(64, 8 * LINK_CELLS // n)
+    for lo in range(0, len(at), wide):
+        here = (place[column] >= lo) & (place[column] < lo + wide)
+        x = np.zeros((n, min(wide, len(at) - lo)), np.float32)
         x[row[here], place[column[here]] - lo] = 1
-        both += x @ x.T
+        for i in range(0, n, strip):
+            both[i : i + strip] += x[i : i + strip] @ x.T
     rare = np.flatnonzero(~frequent & (counts > 1))
     for c in np.unique(counts[rare]):  # the columns of c rows at once, in parts
         some = rare[counts[rare] == c]
@@ -338,11 +344,14 @@ def links_of(ids: list[int], blocks: list[int], sets: list[np.ndarray], num: int
             pairs = (rows[:, :, None] * n + rows[:, None, :]).ravel()
             where, often = np.unique(pairs, return_counts=True)
             both.ravel()[where] += often
-    both = both.astype(np.int64)
-    good = (den * both >= num * (sizes[:, None] + sizes[None, :] - both)) & (doc[:, None] != doc[None, :])
-    if mixed:
-        good &= block[:, None] != block[None, :]
-    return good.sum(axis=1)
+    for i in range(0, n, strip):
+        s = slice(i, i + strip)
+        shared = both[s].astype(np.int64)
+        good = (den * shared >= num * (sizes[s, None] + sizes[None, :] - shared)) & (doc[s, None] != doc[None, :])
+        if mixed:
+            good &= block[s, None] != block[None, :]
+        out[s] = good.sum(axis=1)
+    return out
 
 
 def _tiled(rows: DataFrame, group: str, parts: Column, by_rows: int) -> DataFrame:
@@ -443,7 +452,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     worded = (F.col("n") > 0) & F.col("id").isNotNull()
     classes = sets.where(worded).groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
-    total = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, prefix)), F.lit(0)).cast("long").alias("p")).first()
+    total = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, prefix)), F.lit(0)).cast("long").alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
     n_rows, most = total["n"], total["p"]
     sets = skew_join(sets, classes.where("m > 1").drop("m"), ["h1", "h2", "n"], ["id"], "left")
     sets = written(sets.select("id", "n", F.when(worded, F.coalesce("rep", "id")).alias("rep"), "bits"), n_rows)
@@ -465,7 +474,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     forget(tiles, shingle)
     tiles = named
     texts = docs.where("id is not null").join(tiles.select("id").distinct(), "id", "left_semi")
-    texts = written(texts)
+    texts = written(texts, text_bytes=WORD_BYTES * total["words"])
 
     near = (F.least("n", "cn") * den >= F.greatest("n", "cn") * num) & (F.col("id") != F.col("cid"))
     pairs = written(tiles.where(near).select(F.col("id").alias("u"), F.col("cid").alias("v")).distinct(), most)

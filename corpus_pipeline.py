@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.llm import decontaminate, langid, ngram_join, packing, secrets
-from cellarium.llm.common import table, written
+from cellarium.llm.common import FILE_BYTES, in_files, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # rows of one id: the least hash stays, whatever the order they come in
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     one = rows.groupBy("doc_id").agg(F.min_by(whole, F.struct(F.xxhash64(whole), F.xxhash64(whole, F.lit(1)))).alias("_row"))
-    return one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]).unionAll(docs.where("doc_id is null"))
+    kept = one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]).unionAll(docs.where("doc_id is null"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return in_files(kept, -(-size // FILE_BYTES))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from cellarium.llm import common as C
@@ -24,3 +26,25 @@ def test_skew_join(spark, monkeypatch):
 def test_written_ends_lineage(spark):
     df = C.written(spark.range(5))
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_follow_the_texts(spark):
+    """A few texts in many partitions make few files, and a task makes no more than its share of many."""
+    few, rows = 2 * spark.sparkContext.defaultParallelism, spark.range(0, 1000, 1, 100).withColumn("text", F.lit("some text"))
+    for size, most in ((9000, few), (C.FILE_BYTES * 90, max(few, 90))):
+        got = C.written(rows, text_bytes=size)
+        assert len(got.inputFiles()) <= min(most, 100) and got.count() == 1000
+    assert len(C.written(rows).inputFiles()) == 100
+
+
+def test_a_pass_releases_its_memory(monkeypatch):
+    """At its end, whole or broken off: workers live on."""
+    ends = []
+    monkeypatch.setattr(C, "ship", lambda spark: None)
+    monkeypatch.setattr(C, "release", lambda: ends.append(1))
+    run = C.arrow_pass(SimpleNamespace(sparkSession=SimpleNamespace(conf=SimpleNamespace(set=lambda *a: None)), mapInArrow=lambda f, schema: f), lambda b: (x + 1 for x in b), "x long")
+    assert list(run(iter([1, 2]))) == [2, 3] and ends == [1]
+    broken = run(iter([1, 2]))
+    next(broken)
+    broken.close()
+    assert ends == [1, 1]

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -77,6 +79,23 @@ def test_links_of_every_class(make_docs, near_texts, monkeypatch, shingles, rows
     assert got == {i: want.get(frozenset(s), 0) for i, s in enumerate(sets)} and max(got.values()) > 16
 
 
+def test_a_large_tile_is_counted_in_strips():
+    """Beside the one matrix of all pairs there are no others."""
+    n, rng = 2000, np.random.default_rng(4)
+    sets = [np.sort(rng.permutation(22)[:20]).astype(np.uint64) for _ in range(n)]
+    rows = np.zeros((n, 22), np.int64)
+    for i, s in enumerate(sets):
+        rows[i, s.astype(np.int64)] = 1
+    both = rows @ rows.T
+    want = (100 * both >= 80 * (40 - both)).sum(axis=1) - 1
+    tracemalloc.start()
+    got = J.links_of(list(range(n)), [0] * n, sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == want.tolist() and 0 < want.min()
+    assert peak < 3 * 4 * n * n
+
+
 def test_links_of_a_tile():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
